@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.llm import tokenizer, topn
+from lattiq.llm import quality, tokenizer, topn
 
 
 def _t(spark, d, name):
@@ -21,7 +21,19 @@ def p7_ids(spark, d):
     return tokenizer.encode_corpus(_t(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids}
+def p9_stats(spark, d):
+    return quality.statistics(_t(spark, d, "documents"), _t(spark, d, "common_words"))
+
+
+def p9_counts(spark, d):
+    return p9_stats(spark, d).select("doc_id", "n_chars", "n_words", "mean_word_length", "symbol_share")
+
+
+def p9_found(spark, d):
+    return p9_stats(spark, d).where("is_prose").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
 
 _TOP = """with e as (
     select query_id, unnest(list_zip(passage_ids, scores)) as z from search_result where query_id is not null),
@@ -32,4 +44,13 @@ _TOP = """with e as (
 ORACLE = {
     "p1_found": _TOP + "select query_id, passage_id from r where rank <= 10",
     "p1_top": _TOP + "select query_id, passage_id, score, cast(rank as int) as rank from r where rank <= 10",
+    "p9_counts": r"""
+with t as (select doc_id, coalesce(text, '') as raw,
+    regexp_replace(coalesce(text, ''), '[\x{85}\x{a0}\x{2000}-\x{200d}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]', ' ', 'g') as text from documents),
+  w as (select doc_id, length(raw) as n_chars, regexp_extract_all(text, '[A-Za-z\x{80}-\x{10ffff}]+') as words,
+    length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g')) as n_symbols,
+    length(regexp_replace(text, '[\x{0}-\x{20}]', '', 'g')) as n_visible from t)
+select doc_id, n_chars, len(words) as n_words,
+  case when len(words) > 0 then list_sum(list_transform(words, lambda x: length(x))) / len(words) else 0 end as mean_word_length,
+  case when n_visible > 0 then n_symbols / n_visible else 0 end as symbol_share from w""",
 }
