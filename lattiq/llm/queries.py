@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.llm import quality, tokenizer, topn
+from lattiq.llm import packing, quality, sampling, tokenizer, topn
 
 
 def _t(spark, d, name):
@@ -33,7 +33,27 @@ def p9_found(spark, d):
     return p9_stats(spark, d).where("is_prose").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
+SAMPLE_SIZE = 1000
+
+
+def p6_sample(spark, d):
+    return sampling.sample(_t(spark, d, "doc_chunk"), SAMPLE_SIZE, seed=42)
+
+
+def p6_vectors(spark, d):
+    pieces = _t(spark, d, "doc_chunk")
+    return sampling.with_vectors(sampling.sample(pieces, SAMPLE_SIZE, seed=42), pieces)
+
+
+def p8_containers(spark, d):
+    return packing.pack(tokenizer.count_corpus(_t(spark, d, "documents")))
+
+
+def p8_fill(spark, d):
+    return packing.fill_report(p8_containers(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p6_sample": p6_sample, "p6_vectors": p6_vectors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
 
 _TOP = """with e as (
     select query_id, unnest(list_zip(passage_ids, scores)) as z from search_result where query_id is not null),
