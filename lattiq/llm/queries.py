@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lattiq.llm import packing, quality, sampling, tokenizer, topn
+from lattiq.llm import clusters, neighbours, packing, quality, sampling, tokenizer, topn
 
 
 def _t(spark, d, name):
@@ -33,6 +33,22 @@ def p9_found(spark, d):
     return p9_stats(spark, d).where("is_prose").select("doc_id")
 
 
+def p4_found(spark, d):
+    return neighbours.near_pairs(_t(spark, d, "in_memory_source"))
+
+
+def p4_nearest(spark, d):
+    return neighbours.nearest(_t(spark, d, "in_memory_source"))
+
+
+def p5_found(spark, d):
+    return clusters.cluster(_t(spark, d, "in_memory_source")).select("cluster_vec_id", "vec_id")
+
+
+def p5_typical(spark, d):
+    return clusters.describe(clusters.cluster(_t(spark, d, "in_memory_source")))
+
+
 SAMPLE_SIZE = 1000
 
 
@@ -53,7 +69,7 @@ def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p6_sample": p6_sample, "p6_vectors": p6_vectors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_typical": p5_typical, "p6_sample": p6_sample, "p6_vectors": p6_vectors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
 
 _TOP = """with e as (
     select query_id, unnest(list_zip(passage_ids, scores)) as z from search_result where query_id is not null),
