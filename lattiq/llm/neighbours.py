@@ -23,36 +23,44 @@ from pyspark.sql import functions as F
 from lattiq.functions.scratch import Scratch
 from lattiq.llm import vectors as V
 
-PER_LIST = 650
+PER_LIST = 450
 """Vectors per list, on average, before replication."""
 PER_GROUP = 8_000
-POSTED, SEARCHED, RATIO = 8, 12, 0.12
+POSTED, SEARCHED, RATIO, EXTRA = 8, 12, 0.12, 4
 STEP = 1_000_000
 _LOW = (1 << 24) - 1
 
 
-def _best(score: np.ndarray, index: np.ndarray, k: int) -> np.ndarray:
-    """Per row the k best as sortable codes: cosine in steps of 1e-6 above, complement of the index below."""
+def _best(score: np.ndarray, index: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have a score of at least ``least``, and for each the k best as sortable codes.
+
+    A code is the cosine in steps of 1e-6 above the complement of the index.  Scores are first folded in
+    sixteen strips, so that only a sixteenth of them has to be ranked.
+    """
     take = k + 6
     n, w = score.shape
-    if w > 16 * take:
-        wide = w // 16
-        body = score[:, : 16 * wide].reshape(n, 16, wide)
-        block = np.argpartition(-body.max(1), take - 1, axis=1)[:, :take]
-        cols = (block[:, :, None] + (np.arange(16) * wide)[None, None, :]).reshape(n, -1)
-        cols = np.concatenate([cols, np.broadcast_to(np.arange(16 * wide, w), (n, w - 16 * wide))], 1)
-        s = np.take_along_axis(score, cols, 1)
+    wide = w // 16
+    if wide > take:
+        fold = score[:, :wide].copy()
+        for i in range(1, 16):
+            np.maximum(fold, score[:, i * wide : (i + 1) * wide], out=fold)
+        tail = score[:, 16 * wide :]
+        top = np.maximum(fold.max(1), tail.max(1)) if tail.shape[1] else fold.max(1)
+        rows = np.flatnonzero(top >= least)
+        fold, m = fold[rows], len(rows)
+        block = np.argpartition(-fold, take - 1, axis=1)[:, :take]
+        cols = (block[:, :, None] + (np.arange(16) * wide)[None, None, :]).reshape(m, -1)
+        cols = np.concatenate([cols, np.broadcast_to(np.arange(16 * wide, w), (m, w - 16 * wide))], 1)
+        s = score[rows[:, None], cols]
         sel = np.argpartition(-s, take - 1, axis=1)[:, :take]
         s, cols = np.take_along_axis(s, sel, 1), np.take_along_axis(cols, sel, 1)
-    elif w > take:
-        cols = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        s = np.take_along_axis(score, cols, 1)
     else:
-        s, cols = score, np.broadcast_to(np.arange(w), (n, w))
+        rows = np.flatnonzero(score.max(1) >= least)
+        s, cols = score[rows], np.broadcast_to(np.arange(w), (len(rows), w))
     code = (np.rint((s.astype(np.float64) + 4) * STEP).astype(np.int64) << 24) | (_LOW - index[cols])
     code = np.where(s < -2, -1, code)
     code = -np.sort(-code, axis=1)[:, :k]
-    return code if code.shape[1] == k else np.pad(code, ((0, 0), (0, k - code.shape[1])), constant_values=-1)
+    return rows, code if code.shape[1] == k else np.pad(code, ((0, 0), (0, k - code.shape[1])), constant_values=-1)
 
 
 def _union(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -70,25 +78,34 @@ def _union(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return -np.sort(-both, axis=1)[:, :k]
 
 
-def search_group(m: V.Members, k: int) -> np.ndarray:
-    """Codes of the best k postings for each member over the lists of the group in which it searches."""
+def search_group(m: V.Members, k: int, home_bit: np.ndarray) -> np.ndarray:
+    """Codes of the best k postings for each member over the lists of the group in which it searches.
+
+    Every member searches its home list first, so that in further lists only those rows are ranked that
+    hold something as good as what it has.  ``home_bit`` is -1 for members at home in another group.
+    """
     best = np.full((len(m.ids), k), -1, np.int64)
-    for bit in range(V.GROUP_LISTS):
-        p = np.flatnonzero(m.post & (1 << bit))
-        q = np.flatnonzero(m.search & (1 << bit))
-        if not len(p) or not len(q):
-            continue
-        target = np.ascontiguousarray(m.vecs[p].T)
-        place = np.full(len(m.ids), -1)
-        place[p] = np.arange(len(p))
-        rows = max(16, min(512, 2_000_000 // len(p)))
-        for at in range(0, len(q), rows):
-            part = q[at : at + rows]
-            score = m.vecs[part] @ target
-            own = place[part]
-            hit = np.flatnonzero(own >= 0)
-            score[hit, own[hit]] = -3
-            best[part] = _union(best[part], _best(score, p, k), k)
+    for first in (True, False):
+        for bit in range(V.GROUP_LISTS):
+            p = np.flatnonzero(m.post & (1 << bit))
+            q = np.flatnonzero((m.search & (1 << bit) != 0) & ((home_bit == bit) == first))
+            if not len(p) or not len(q):
+                continue
+            target = np.ascontiguousarray(m.vecs[p].T)
+            place = np.full(len(m.ids), -1)
+            place[p] = np.arange(len(p))
+            rows = max(16, min(512, 500_000 // len(p)))
+            for at in range(0, len(q), rows):
+                part = q[at : at + rows]
+                score = m.vecs[part] @ target
+                own = place[part]
+                hit = np.flatnonzero(own >= 0)
+                score[hit, own[hit]] = -3
+                last = best[part, k - 1]
+                least = np.where(last >= 0, (last >> 24) / STEP - 4 - 2 / STEP, -2)
+                some, code = _best(score, p, k, least)
+                if len(some):
+                    best[part[some]] = _union(best[part[some]], code, k)
     return best
 
 
@@ -106,14 +123,15 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
     index = V.without(base, surplus)
     lay = V.layout_of(base, n, per_list, per_group)
     shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
-    laid = V.exchange(index, shared, lay.groups, POSTED, SEARCHED, RATIO, RATIO)
+    laid = V.exchange(index, shared, lay.groups, POSTED, SEARCHED, RATIO, RATIO, EXTRA)
     buckets = lay.groups
 
     def local(batches):
+        bits = shared.value.bit
         for m in V.gathered(batches):
             if len(m.ids) > _LOW:
                 raise ValueError("a group outgrew its index; lower per_group")
-            best = search_group(m, k)
+            best = search_group(m, k, np.where(m.home >= 0, bits[np.maximum(m.home, 0)], -1))
             some = np.flatnonzero(best[:, 0] >= 0)
             best = best[some]
             ids = m.ids[some]

@@ -118,7 +118,7 @@ class Layout:
     bit: np.ndarray
     groups: int
 
-    def search(self, x: np.ndarray, k: int, expand: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, k: int, expand: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest heads of each row and their cosines, by a best-first walk over the graph of heads.
 
         All rows walk at once: rows that expand the same head share one small product with its links.
