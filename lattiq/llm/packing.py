@@ -32,10 +32,10 @@ from lattiq.functions.scratch import Scratch
 CAPACITY = 4096
 CLASSES = 512
 """Length classes of the linear program."""
-ROUNDS = 1000
+ROUNDS = 600
 """Rounds of multiplicative weights."""
-UNIT = 4
-"""Granularity of lengths in the knapsack program."""
+CELLS = 4096
+"""Cells of the knapsack program: lengths are rounded up to capacity / CELLS (to 1 for small capacities)."""
 RESERVE = 0.02
 """Share of the total length, in the shortest items, kept back to fill gaps."""
 RANK_BUCKET = 200_000
@@ -99,7 +99,8 @@ def price(units: np.ndarray, limit: np.ndarray, value: np.ndarray, capacity: int
 
 def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.5) -> dict[tuple[int, ...], float]:
     """Fractional copies of configurations that cover ``demand``, by multiplicative weights."""
-    units, room = -(-sizes // UNIT), capacity // UNIT
+    unit = max(1, capacity // CELLS)
+    units, room = -(-sizes // unit), capacity // unit
     fits = units <= room
     weight, covered = np.where(fits, 1.0, 0.0), np.zeros(len(sizes))
     count: dict[tuple[int, ...], float] = {}

@@ -115,7 +115,7 @@ def measure(data: np.ndarray, starts: np.ndarray, common: np.ndarray) -> dict[st
         out |= {side + k: zero.copy() for k in LINE}
     for side in ("a_", "z_"):
         out |= {side + k: (np.zeros(n_docs, np.uint64) if k == "hash" else zero.copy()) for k in EDGE}
-    out["one_line"], out["one_word"] = np.ones(n_docs, bool), np.zeros(n_docs, bool)
+    out["one_line"], out["one_word"], out["ended"] = np.ones(n_docs, bool), np.zeros(n_docs, bool), np.zeros(n_docs, bool)
     if not len(data):
         return out
     size = len(data)
@@ -215,6 +215,7 @@ def measure(data: np.ndarray, starts: np.ndarray, common: np.ndarray) -> dict[st
     out["n_lines"][has], out["n_closed"][has] = add(some & inner), add(some & inner & (last > 0))
     out["n_prose"][has] = add(np.where(prose, lines["l_chars"], 0))
     out["one_line"][has] = doc_to - doc_line == 1
+    out["ended"][has] = (data[starts[1:][has] - 1] == 10) | (data[starts[1:][has] - 1] == 13)
     for k in LINE:
         out["h_" + k][has], out["t_" + k][has] = lines[k][doc_line], lines[k][doc_to - 1]
     # open words at the edges
@@ -249,6 +250,13 @@ def join(a: dict, b: dict, common: set[int]) -> dict:
         r["a_" + k] = joined[k] if joined and a["one_word"] else a["a_" + k]
         r["z_" + k] = joined[k] if joined and b["one_word"] else b["z_" + k]
     r["one_word"] = bool(a["one_word"] and b["one_word"])
+    r["ended"] = b["ended"]
+    if a["ended"]:  # a line ends at the seam: both lines beside it are whole there
+        for p, side in (("t_", a), ("h_", b)):
+            if not side["one_line"]:
+                _close(r, {k: side[p + k] for k in LINE})
+        r["one_line"] = False
+        return r | {p + k: side[p + k] for p, side in (("h_", a), ("t_", b)) for k in LINE}
     # the line that runs over the seam
     seam = {k: a["t_" + k] + b["h_" + k] for k in LINE}
     seam["l_mark"] = a["t_l_mark"] if a["t_l_seen"] else b["h_l_mark"]
@@ -273,7 +281,7 @@ def _close(r: dict, line: dict) -> None:
 
 
 def _schema(id_kind: str) -> str:
-    cols = [f"doc_id {id_kind}, block bigint, chunk bigint, chunks bigint, one_line boolean, one_word boolean"]
+    cols = [f"doc_id {id_kind}, block bigint, chunk bigint, chunks bigint, one_line boolean, one_word boolean, ended boolean"]
     cols += [f"{k} bigint" for k in (*SUMS, *("h_" + k for k in LINE), *("t_" + k for k in LINE), *(s + k for s in ("a_", "z_") for k in EDGE))]
     return ", ".join(cols)
 

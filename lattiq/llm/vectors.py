@@ -73,6 +73,8 @@ def usable(rows: DataFrame, dim: int = DIM, id_col: str = "vec_id", vec_col: str
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
             ok = np.isfinite(x).all(1) & (x != 0).any(1)
             b, x = b.filter(pa.array(ok)), x[ok]
+            if not len(x):
+                continue
             x = x / np.abs(x).max(1, keepdims=True)
             code = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
             key = _hash_rows(code[:, : 2 * dim])
