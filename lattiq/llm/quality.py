@@ -22,7 +22,6 @@ zero counts and are no prose.  Extra columns are ignored; of rows repeating a do
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -320,34 +319,45 @@ def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> DataF
     return parts.mapInArrow(run, _schema(kind))
 
 
-def _merge(rows: list[dict], common: set[int]) -> dict:
-    """Join neighbouring states pairwise, level by level."""
-    for r in rows:
-        for s in ("a_hash", "z_hash"):
-            r[s] = int(r[s]) & (1 << 64) - 1
-    while len(rows) > 1:
-        rows = [join(rows[i], rows[i + 1], common) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
-    return rows[0]
+def merged(states: DataFrame, keys: list[str], common: set[int]) -> DataFrame:
+    """One tree level: the chunk states of each group of ``keys`` joined in order, in a stream over sorted rows."""
+    names = states.columns
+    hashes = ("a_hash", "z_hash")
+
+    def run(batches):
+        key, acc = None, None
+        for b in batches:
+            done = []
+            for row in b.to_pylist():
+                for h in hashes:
+                    row[h] &= (1 << 64) - 1
+                mine = tuple(row[k] for k in keys)
+                if mine != key:
+                    if acc is not None:
+                        done.append(acc)
+                    key, acc, last = mine, row, row["chunk"]
+                elif row["chunk"] != last:  # a repeated row counts once
+                    acc, last = join(acc, row, common) | {k: acc[k] for k in ("doc_id", "block", "chunk", "chunks")}, row["chunk"]
+            if done:
+                yield _batch(done, b.schema)
+        if acc is not None:
+            yield _batch([acc], b.schema)
+
+    def _batch(rows, schema):
+        for r in rows:
+            for h in hashes:
+                r[h] = int(r[h]) - (1 << 64) if int(r[h]) >> 63 else int(r[h])
+        return pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema)
+
+    parts = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return states.repartition(parts, *keys).sortWithinPartitions(*keys, "chunk").mapInArrow(run, states.schema)
 
 
 def document_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One state per document: single chunks pass through, others are merged by block and then by document."""
-    spark = docs.sparkSession
-    states = Scratch(spark, "quality").write(chunk_states(docs, words, chunk), "states")
+    states = Scratch(docs.sparkSession, "quality").write(chunk_states(docs, words, chunk), "states")
     _, common = _hashes(words)
-    names = states.columns
-
-    def level(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk").drop_duplicates("chunk")
-        rows = frame.to_dict("records")
-        merged = _merge(rows, common)
-        merged |= {k: rows[0][k] for k in ("doc_id", "block", "chunk", "chunks")}
-        for s in ("a_hash", "z_hash"):
-            merged[s] = int(np.uint64(merged[s]).view(np.int64))
-        return pd.DataFrame([merged])[names]
-
-    many = states.where("chunks > 1")
-    tree = many.groupBy("doc_id", "block").applyInPandas(level, states.schema).groupBy("doc_id").applyInPandas(level, states.schema)
+    tree = merged(merged(states.where("chunks > 1"), ["doc_id", "block"], common), ["doc_id"], common)
     return states.where("chunks = 1").unionByName(tree)
 
 
