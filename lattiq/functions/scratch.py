@@ -35,7 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/lattiq/{label}-{uuid.uuid4().hex}"
+        self.root = f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the stored table; survives the loss of any executor."""
@@ -45,6 +45,18 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a stored table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.root}/{name}")
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results must have been written before."""
+    _delete(spark, _home(spark))
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lattiq/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
