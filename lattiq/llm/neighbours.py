@@ -31,36 +31,48 @@ STEP = 1_000_000
 _LOW = (1 << 24) - 1
 
 
+def _code(score: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Cosines in steps of 1e-6 above the complement of the index; -1 for a vector itself."""
+    return np.where(score < -2, -1, (np.rint((score.astype(np.float64) + 4) * STEP).astype(np.int64) << 24) | (_LOW - index))
+
+
 def _best(score: np.ndarray, index: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have a score of at least ``least``, and for each the k best as sortable codes.
+    """Rows that have a score of at least ``least``, and for each the codes of the k best.
 
-    A code is the cosine in steps of 1e-6 above the complement of the index.  Scores are first folded in
-    sixteen strips, so that only a sixteenth of them has to be ranked.
+    Scores are folded in sixteen strips by maximum.  The k-th best of a fold bounds the k-th best of the row
+    from below, so only strips that reach that bound (or the one given) are looked into.
     """
-    take = k + 6
     n, w = score.shape
     wide = w // 16
-    if wide > take:
-        fold = score[:, :wide].copy()
-        for i in range(1, 16):
-            np.maximum(fold, score[:, i * wide : (i + 1) * wide], out=fold)
-        tail = score[:, 16 * wide :]
-        top = np.maximum(fold.max(1), tail.max(1)) if tail.shape[1] else fold.max(1)
-        rows = np.flatnonzero(top >= least)
-        fold, m = fold[rows], len(rows)
-        block = np.argpartition(-fold, take - 1, axis=1)[:, :take]
-        cols = (block[:, :, None] + (np.arange(16) * wide)[None, None, :]).reshape(m, -1)
-        cols = np.concatenate([cols, np.broadcast_to(np.arange(16 * wide, w), (m, w - 16 * wide))], 1)
-        s = score[rows[:, None], cols]
-        sel = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        s, cols = np.take_along_axis(s, sel, 1), np.take_along_axis(cols, sel, 1)
-    else:
+    if wide <= 2 * k:
         rows = np.flatnonzero(score.max(1) >= least)
-        s, cols = score[rows], np.broadcast_to(np.arange(w), (len(rows), w))
-    code = (np.rint((s.astype(np.float64) + 4) * STEP).astype(np.int64) << 24) | (_LOW - index[cols])
-    code = np.where(s < -2, -1, code)
-    code = -np.sort(-code, axis=1)[:, :k]
-    return rows, code if code.shape[1] == k else np.pad(code, ((0, 0), (0, k - code.shape[1])), constant_values=-1)
+        code = -np.sort(-_code(score[rows], index), axis=1)[:, :k]
+        return rows, code if code.shape[1] == k else np.pad(code, ((0, 0), (0, k - code.shape[1])), constant_values=-1)
+    fold = score[:, :wide].copy()
+    for i in range(1, 16):
+        np.maximum(fold, score[:, i * wide : (i + 1) * wide], out=fold)
+    tail = score[:, 16 * wide :]
+    rows = np.flatnonzero((np.maximum(fold.max(1), tail.max(1)) if tail.shape[1] else fold.max(1)) >= least)
+    fold, tail, limit = fold[rows], tail[rows], least[rows].copy()
+    new = np.flatnonzero(limit < -1)
+    if len(new):
+        limit[new] = np.partition(fold[new], wide - k, axis=1)[:, wide - k] - 2 / STEP
+    limit = limit.astype(np.float32)
+    r, c = np.nonzero(fold >= limit[:, None])
+    col = c[:, None] + np.arange(16) * wide
+    val = score[rows[r][:, None], col]
+    hit = val >= limit[r][:, None]
+    tr, tc = np.nonzero(tail >= limit[:, None])
+    r = np.concatenate([np.broadcast_to(r[:, None], hit.shape)[hit], tr])
+    col, val = np.concatenate([col[hit], tc + 16 * wide]), np.concatenate([val[hit], tail[tr, tc]])
+    code = _code(val, index[col])
+    order = np.lexsort((-code, r))
+    r, code = r[order], code[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, np.arange(len(rows)))[r]
+    out = np.full((len(rows), k), -1, np.int64)
+    top = rank < k
+    out[r[top], rank[top]] = code[top]
+    return rows, out
 
 
 def _union(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:

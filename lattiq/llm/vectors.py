@@ -120,7 +120,7 @@ class Layout:
     bit: np.ndarray
     groups: int
 
-    def search(self, x: np.ndarray, k: int, expand: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, k: int, expand: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest heads of each row and their cosines, by a best-first walk over the graph of heads.
 
         All rows walk at once: rows that expand the same head share one small product with its links.
@@ -148,7 +148,7 @@ class Layout:
         return np.take_along_axis(top, o, 1), np.take_along_axis(s, o, 1)
 
 
-def train(sample: np.ndarray, lists: int, group_target: int, rounds: int = 5, degree: int = 48, seed: int = 7) -> Layout:
+def train(sample: np.ndarray, lists: int, group_target: int, rounds: int = 5, degree: int = 128, seed: int = 7) -> Layout:
     """Balanced heads from a sample of unit vectors: spherical k-means in which the heads of overfull lists are
     doubled at the cost of nearly empty ones, a graph of near heads, and groups by recursive bisection."""
     rng = np.random.default_rng(seed)
