@@ -16,6 +16,7 @@ import numbers
 import time
 import warnings
 from collections.abc import Mapping, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,8 @@ class Engine:
         ``subset`` is a list of ids, one list of ids per query, or a frame (pid) or (qid, pid).
         """
         self._open()
+        if isinstance(queries_embeddings, (list, tuple)) and not queries_embeddings:
+            return []
         queries = src.pad_queries(queries_embeddings)
         n, t, _ = queries.shape
         auto = self.optimize_hyperparams(top_k, queries)
@@ -314,7 +317,7 @@ class Engine:
         Tokens far from every centroid may add (empty) centroids, and the outlier threshold is blended.
         """
         meta = self.meta()
-        if not isinstance(embeddings_source, (DataFrame, str)) and hasattr(embeddings_source, "__len__") and len(embeddings_source) == 0:
+        if hasattr(embeddings_source, "__len__") and len(embeddings_source) == 0:
             return []
         start = meta["next_passage_id"]
         scratch = Scratch(self.spark, "add")
@@ -334,7 +337,7 @@ class Engine:
             paths["metadata"] = self._store(rows if old is None else old.unionByName(rows, allowMissingColumns=True), version, "metadata")
 
         far = maintain.outliers(coded, meta["cluster_threshold"])
-        grow = 0 if isinstance(embeddings_source, str) else maintain.growth(far.count(), meta["num_centroids"], min_outliers, max_growth_rate, max_points_per_centroid)
+        grow = 0 if isinstance(embeddings_source, (str, Path)) else maintain.growth(far.count(), meta["num_centroids"], min_outliers, max_growth_rate, max_points_per_centroid)
         if grow:
             points = self.spark.read.parquet(f"{scratch.root}/tokens").join(far.select("pid", "pos"), ["pid", "pos"], "left_semi")
             more = self._train(points, grow, 4, max_points_per_centroid, 42)
@@ -361,7 +364,7 @@ class Engine:
         meta = self.meta()
         if len(set(ids)) != len(ids):
             raise ValueError("an id is given twice")
-        if not isinstance(embeddings_source, (DataFrame, str)) and len(embeddings_source) != len(ids):
+        if not isinstance(embeddings_source, (DataFrame, str, Path)) and len(embeddings_source) != len(ids):
             raise ValueError(f"{len(embeddings_source)} documents for {len(ids)} ids")
         if not ids:
             return self
