@@ -29,7 +29,7 @@ LINK = 0.85
 LEAST_SIZE = 5
 PER_LIST = 400
 PER_GROUP = 8_000
-LISTED, RATIO, EXTRA = 8, 0.2, 12
+LISTED, RATIO, EXTRA = 12, 0.2, 12
 CROWD = 128
 """Links of one vector in a cell beyond which the cell is reduced by a leader."""
 
@@ -96,7 +96,7 @@ def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, p
     surplus = scratch.write(surplus, "surplus")
     lay = V.layout_of(base, n, per_list, per_group)
     shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
-    laid = V.exchange(V.without(base, surplus), shared, lay.groups, LISTED, LISTED, RATIO, RATIO, EXTRA)
+    laid = V.exchange(V.without(base, surplus), shared, lay.groups, LISTED, LISTED, RATIO, RATIO, EXTRA, walk=False)
 
     def local(batches):
         heads = shared.value.heads

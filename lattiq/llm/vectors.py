@@ -120,6 +120,15 @@ class Layout:
     bit: np.ndarray
     groups: int
 
+    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest heads of each row and their cosines, by the full product (MAX_LISTS bounds it)."""
+        k = min(k, len(self.heads))
+        score = x @ self.heads.T
+        top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        s = np.take_along_axis(score, top, 1)
+        o = np.argsort(-s, axis=1, kind="stable")
+        return np.take_along_axis(top, o, 1), np.take_along_axis(s, o, 1)
+
     def search(self, x: np.ndarray, k: int, expand: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest heads of each row and their cosines, by a best-first walk over the graph of heads.
 
@@ -202,13 +211,14 @@ def layout_of(base: DataFrame, n: int, per_list: int, per_group: int, dim: int =
     return train(sample, min(MAX_LISTS, max(1, round(n / per_list))), max(1, int(per_group * share)))
 
 
-def exchange(base: DataFrame, layout, groups: int, posted: int, searched: int, ratio_post: float, ratio_search: float, extra: int = 8, dim: int = DIM) -> DataFrame:
+def exchange(base: DataFrame, layout, groups: int, posted: int, searched: int, ratio_post: float, ratio_search: float, extra: int = 8, walk: bool = True, dim: int = DIM) -> DataFrame:
     """Blocks ``(group, ids, post, search, home, vecs)`` laid out one group per partition.
 
     A vector is posted to its nearest list and to further ones (boundary replicas), and searches in lists,
     as long as the distance to the head is within a ratio of the distance to the nearest head, and no more
     than ``posted`` or ``searched``.  In the groups so reached it also joins ``extra`` further near lists,
-    which costs no transport.  ``layout`` is a broadcast Layout.
+    which costs no transport.  ``layout`` is a broadcast Layout; its heads are found by the walk over their graph
+    or, if ``walk`` is off, by the full product.
     """
 
     def run(batches):
@@ -219,7 +229,7 @@ def exchange(base: DataFrame, layout, groups: int, posted: int, searched: int, r
             for at in range(0, b.num_rows, 4096):
                 part, code = ids[at : at + 4096], raw[at : at + 4096]
                 most = max(posted, searched)
-                top, cos = lay.search(decode(code, dim), most + extra)
+                top, cos = (lay.search if walk else lay.nearest)(decode(code, dim), most + extra)
                 dist = np.sqrt(np.maximum(0, 2 - 2 * cos))
                 reach = dist <= (1 + max(ratio_post, ratio_search)) * dist[:, :1] + 1e-6
                 rank = np.arange(top.shape[1])
