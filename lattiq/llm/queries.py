@@ -77,7 +77,23 @@ _TOP = """with e as (
   r as (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from b)
 """
 
+_UNIT = """with v as (
+    select vec_id, any_value(embeddings)::double[64] as e from in_memory_source
+    where vec_id is not null and len(embeddings) = 64 and len(list_filter(embeddings, lambda x: x is null or isnan(x) or isinf(x))) = 0
+      and len(list_filter(embeddings, lambda x: x <> 0)) > 0 group by vec_id)
+"""
+
 ORACLE = {
+    "p4_found": _UNIT
+    + """, c as (select a.vec_id as a, b.vec_id as b, array_cosine_similarity(a.e, b.e) as s from v a join v b on a.vec_id <> b.vec_id),
+  r as (select a, b, s, row_number() over (partition by a order by round(s, 6) desc, b) as rank from c where s >= 0.9)
+select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from r where rank <= 5 and s >= 0.985""",
+    "p5_found": _UNIT.replace("with v", "with recursive v")
+    + """, edge as (select a.vec_id as a, b.vec_id as b from v a join v b on array_cosine_similarity(a.e, b.e) >= 0.85),
+  reach(a, b) as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+  low as (select a as vec_id, min(b) as cluster_vec_id from reach group by a),
+  big as (select cluster_vec_id from low group by cluster_vec_id having count(*) >= 5)
+select cluster_vec_id, vec_id from low where cluster_vec_id in (select cluster_vec_id from big)""",
     "p1_found": _TOP + "select query_id, passage_id from r where rank <= 10",
     "p1_top": _TOP + "select query_id, passage_id, score, cast(rank as int) as rank from r where rank <= 10",
     "p9_counts": r"""
