@@ -23,6 +23,8 @@ BITS = 5
 """A round splits each open interval into about 2**BITS parts, as BITS halvings at once would."""
 HOT_SHARE = 500
 """Groups with more than a HOT_SHARE-th of all rows are salted in joins; there are fewer than HOT_SHARE."""
+HOT_ROWS = 100_000
+"""Rows under one salt, about."""
 
 
 def entries(results: DataFrame, group: str = "query_id", ids: str = "passage_ids", scores: str = "scores") -> DataFrame:
@@ -64,8 +66,8 @@ def top_n(items: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame
     groups = scratch.write(_bounds(rows, ["g"]), "groups")
     hot = (
         groups.crossJoin(F.broadcast(groups.agg(F.sum("n").alias("all"))))  # one row
-        .where(f"n * {HOT_SHARE} > all and n > 100000")
-        .select("g", F.ceil(F.col("n") / 100000).cast("int").alias("salts"))
+        .where(f"n * {HOT_SHARE} > all and n > {max(n, HOT_ROWS)}")
+        .select("g", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
     )
 
     def salted(frame: DataFrame) -> DataFrame:
@@ -75,7 +77,8 @@ def top_n(items: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame
         return bounds.join(F.broadcast(hot), "g", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
 
     bounds = _open(spread(groups.where(f"n > {n}").withColumn("need", F.lit(n).cast("bigint"))))
-    done: DataFrame = rows.join(groups.where(f"n <= {n}").select("g"), "g", "left_semi").select("g", "item", "score")
+    small = rows.join(F.broadcast(hot), "g", "left_anti")  # a hot group is not small, and its rows need not travel
+    done: DataFrame = small.join(groups.where(f"n <= {n}").select("g"), "g", "left_semi").select("g", "item", "score")
     open_rows, turn = rows, 0
     while True:
         # midpoints: the open part of the code, cut at multiples of 2**k
