@@ -125,7 +125,8 @@ def sample(pieces: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def with_vectors(chosen: DataFrame, pieces: DataFrame) -> DataFrame:
     """Adds ``vectors``, the token vectors of each sampled document, from its piece."""
-    bodies = pieces.groupBy("piece_id").agg(F.first("doclens", True).alias("doclens"), F.first("embeddings", True).alias("embeddings"))
+    wanted = pieces.join(chosen.select("piece_id").distinct(), "piece_id", "left_semi")  # other pieces stay where they are
+    bodies = wanted.groupBy("piece_id").agg(F.first("doclens", True).alias("doclens"), F.first("embeddings", True).alias("embeddings"))
     return chosen.join(bodies, "piece_id").selectExpr(
         "pid", "piece_id", "pos", "doclen",
         "slice(embeddings, cast(1 + aggregate(slice(doclens, 1, pos), 0L, (s, x) -> s + coalesce(x, 0L)) as int), cast(doclen as int)) as vectors",
