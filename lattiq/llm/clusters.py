@@ -92,8 +92,7 @@ def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, p
     n = base.count()
     if n == 0:
         return None
-    surplus, first = V.crowded(base, 1)
-    surplus = scratch.write(surplus, "surplus")
+    surplus, first = V.crowded(base, 1, scratch)
     lay = V.layout_of(base, n, per_list, per_group)
     shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
     laid = V.exchange(V.without(base, surplus), shared, lay.groups, LISTED, LISTED, RATIO, RATIO, EXTRA, walk=False)
@@ -159,12 +158,13 @@ def cluster(rows: DataFrame, link: float = LINK, least: int = LEAST_SIZE, per_li
     member = inner.groupBy("vec_id").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots"), F.max("cell").alias("cell"), F.max("closeness").alias("closeness"))
     member = scratch.write(member, "members")
     links = member.where("size(roots) > 1").selectExpr("low as a", "explode(roots) as b").where("a <> b").distinct()
-    labels = propagate(links, scratch)
-    named = member.join(labels.withColumnRenamed("node", "low"), "low", "left").selectExpr("coalesce(label, low) as cluster_vec_id", "vec_id", "cell", "closeness")
+    # a root or a cluster may own a third of all vectors: its one label or size is broadcast if there are few
+    labels = V.checked(propagate(links, scratch).withColumnRenamed("node", "low"), scratch, "labels")
+    named = member.join(labels, "low", "left").selectExpr("coalesce(label, low) as cluster_vec_id", "vec_id", "cell", "closeness")
     alike = copies.join(named.withColumnRenamed("vec_id", "first"), "first").select("cluster_vec_id", "vec_id", "cell", "closeness")
     named = named.unionByName(alike)
     sizes = named.groupBy("cluster_vec_id").agg(F.count(F.lit(1)).alias("size")).where(f"size >= {least}")
-    return named.join(sizes, "cluster_vec_id").select("cluster_vec_id", "vec_id", "size", "cell", "closeness")
+    return named.join(V.checked(sizes, scratch, "sizes"), "cluster_vec_id").select("cluster_vec_id", "vec_id", "size", "cell", "closeness")
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:

@@ -130,8 +130,7 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
     shape = "vec_id bigint, neighbour_id bigint, rank int, cosine float"
     if n == 0:
         return spark.createDataFrame([], shape)
-    surplus, first = V.crowded(base, k + 1)
-    surplus = scratch.write(surplus, "surplus")
+    surplus, first = V.crowded(base, k + 1, scratch)
     index = V.without(base, surplus)
     lay = V.layout_of(base, n, per_list, per_group)
     shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
@@ -192,7 +191,8 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
     if surplus.isEmpty():
         return found
     # beyond the indexed ids of a direction, a vector's neighbours are the k smallest of them
-    same = surplus.join(scratch.write(first.where(f"nth <= {k}"), "first").withColumnRenamed("vec_id", "neighbour_id"), "key")
+    best = V.checked(first.where(f"nth <= {k}").withColumnRenamed("vec_id", "neighbour_id"), scratch, "best")
+    same = surplus.join(best, "key")
     return found.unionByName(same.selectExpr("vec_id", "neighbour_id", "cast(nth as int) as rank", "cast(1 as float) as cosine"))
 
 

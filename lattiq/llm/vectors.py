@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattiq.functions.scratch import Scratch
+
 DIM = 64
 SAMPLE = 60_000
 """Vectors in the training sample, at most about this many (chosen by a hash of vec_id)."""
@@ -85,19 +87,25 @@ def usable(rows: DataFrame, dim: int = DIM, id_col: str = "vec_id", vec_col: str
     return source.mapInArrow(run, "vec_id bigint, key bigint, v binary")
 
 
-def crowded(base: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+def checked(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` stored and counted; marked for broadcast only if it has at most BROADCAST_ROWS rows."""
+    stored = scratch.write(df, name)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
+def crowded(base: DataFrame, keep: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Vectors beyond the ``keep`` smallest ids of one direction, and those smallest.
 
     Returns ``(vec_id, key)`` of the surplus, which need not be indexed, and ``(key, vec_id, nth)`` of the
-    first ones.  A direction shared by a third of all rows costs one aggregation, no pairs.
+    first ones.  A direction shared by a third of all rows costs one aggregation and no pairs: its rows meet
+    its key by broadcast, and the ranking is limited before it is shuffled.
     """
     ids = base.select("key", "vec_id").distinct()
-    full = ids.groupBy("key").count().where(f"count > {keep}").select("key")
-    first = (
-        ids.join(full, "key").withColumn("nth", F.expr("row_number() over (partition by key order by vec_id)")).where(f"nth <= {keep}")
-    )
-    surplus = ids.join(first.groupBy("key").agg(F.max("vec_id").alias("to")), "key").where("vec_id > to").select("vec_id", "key")
-    return surplus, first
+    full = checked(ids.groupBy("key").count().where(f"count > {keep}").select("key"), scratch, "full")
+    nth = ids.join(full, "key").withColumn("nth", F.expr("row_number() over (partition by key order by vec_id)"))
+    first = scratch.write(nth.where(f"nth <= {keep}"), "first")
+    last = checked(first.groupBy("key").agg(F.max("vec_id").alias("to")), scratch, "last")
+    return scratch.write(ids.join(last, "key").where("vec_id > to").select("vec_id", "key"), "surplus"), first
 
 
 def without(base: DataFrame, dropped: DataFrame) -> DataFrame:
