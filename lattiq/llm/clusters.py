@@ -118,7 +118,7 @@ def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, p
             )
 
     found = laid.mapInArrow(local, "root bigint, vec_id bigint, cell int, closeness float")
-    firsts = first.where("nth = 1").select("key", F.col("vec_id").alias("first"))
+    firsts = V.checked(first.where("nth = 1").select("key", F.col("vec_id").alias("first")), scratch, "firsts")
     return scratch.write(found, "memberships"), surplus.join(firsts, "key").select("vec_id", "first")
 
 
@@ -161,7 +161,9 @@ def cluster(rows: DataFrame, link: float = LINK, least: int = LEAST_SIZE, per_li
     # a root or a cluster may own a third of all vectors: its one label or size is broadcast if there are few
     labels = V.checked(propagate(links, scratch).withColumnRenamed("node", "low"), scratch, "labels")
     named = member.join(labels, "low", "left").selectExpr("coalesce(label, low) as cluster_vec_id", "vec_id", "cell", "closeness")
-    alike = copies.join(named.withColumnRenamed("vec_id", "first"), "first").select("cluster_vec_id", "vec_id", "cell", "closeness")
+    # copies take the place of the vector they repeat; many may repeat the same one
+    origin = named.withColumnRenamed("vec_id", "first").join(copies.select("first").distinct(), "first", "left_semi")
+    alike = copies.join(V.checked(origin, scratch, "origin"), "first").select("cluster_vec_id", "vec_id", "cell", "closeness")
     named = named.unionByName(alike)
     sizes = named.groupBy("cluster_vec_id").agg(F.count(F.lit(1)).alias("size")).where(f"size >= {least}")
     return named.join(V.checked(sizes, scratch, "sizes"), "cluster_vec_id").select("cluster_vec_id", "vec_id", "size", "cell", "closeness")
