@@ -9,7 +9,15 @@ the nearest head of a balanced codebook instead (a cell is the region of a head)
 listed in the cells beyond it.  Two cells are adjacent where a vector is listed in both, and they are joined
 where it belongs to linked members of both.  Links inside a cell are exact tests of the cosine over dense blocks;
 a crowded cell is first reduced by a leader: everything linked to it is one set, and only the rest is compared
-on.  Two vectors belong together if their cosine reaches the threshold or others join them in this way.
+on.
+
+The lists of a vector end by count and by ratio, so a linked pair may share no cell.  ``bridges`` makes the result
+exact: the vectors of a cell are split into units by closeness to the head (and by label where one is large), the
+triangle inequality on the closeness stored for each unit rules out what cannot hold a link, and everything else with
+another label is compared.  Vectors far from every head cannot be ruled out, so this step is quadratic in their
+number.
+
+Two vectors belong together if their cosine reaches the threshold or others join them in this way.
 
 Equal directions are collapsed to their smallest id before and attached after.  Rows with the same vec_id count
 once; unusable vectors are left out.  Cosines are accurate to about 4e-6.  No input, no rows.
@@ -32,6 +40,12 @@ PER_GROUP = 8_000
 LISTED, RATIO, EXTRA = 12, 0.2, 12
 CROWD = 128
 """Links of one vector in a cell beyond which the cell is reduced by a leader."""
+RINGS = (0.95, 0.9, 0.8, 0.6)
+"""Cosines to the head at which the vectors of a cell are split into units."""
+UNIT = 256
+"""Vectors of one label in one ring that are a unit of their own."""
+HOSTS = 100_000
+"""Vectors broadcast in one round of comparisons, at most about this many."""
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,11 +95,12 @@ def cell_links(x: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, per_group: int) -> tuple[DataFrame, DataFrame] | None:
+def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, per_group: int) -> tuple[DataFrame, DataFrame, DataFrame, object] | None:
     """``(root, vec_id, cell, closeness)``: local components of linked vectors, named by their smallest id.
 
     ``cell`` is the cell of the vector's nearest head, given where its own group reports it, else null.
-    The second table, ``(vec_id, first)``, has the vectors that only repeat the direction of another one.
+    The second table, ``(vec_id, first)``, has the vectors that only repeat the direction of another one; the third
+    has the vectors that were compared, and the last item is the broadcast Layout.
     """
     spark = rows.sparkSession
     base = scratch.write(V.usable(rows), "base")
@@ -95,7 +110,8 @@ def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, p
     surplus, first = V.crowded(base, 1, scratch)
     lay = V.layout_of(base, n, per_list, per_group)
     shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
-    laid = V.exchange(V.without(base, surplus), shared, lay.groups, LISTED, LISTED, RATIO, RATIO, EXTRA, walk=False)
+    kept = V.without(base, surplus)
+    laid = V.exchange(kept, shared, lay.groups, LISTED, LISTED, RATIO, RATIO, EXTRA, walk=False)
 
     def local(batches):
         heads = shared.value.heads
@@ -119,7 +135,133 @@ def memberships(rows: DataFrame, link: float, scratch: Scratch, per_list: int, p
 
     found = laid.mapInArrow(local, "root bigint, vec_id bigint, cell int, closeness float")
     firsts = V.checked(first.where("nth = 1").select("key", F.col("vec_id").alias("first")), scratch, "firsts")
-    return scratch.write(found, "memberships"), surplus.join(firsts, "key").select("vec_id", "first")
+    return scratch.write(found, "memberships"), surplus.join(firsts, "key").select("vec_id", "first"), kept, shared
+
+
+def _window(low: np.ndarray, high: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines to a head outside of which no vector links to one whose cosine to that head is in [low, high]."""
+    reach = np.arccos(np.clip(link, -1, 1)) + 1e-3
+    far, near = np.arccos(np.clip(low, -1, 1)) + reach, np.arccos(np.clip(high, -1, 1)) - reach
+    return np.where(far >= np.pi, -2, np.cos(np.minimum(far, np.pi))), np.where(near <= 0, 2, np.cos(np.maximum(near, 0)))
+
+
+def bridges(named: DataFrame, vectors: DataFrame, shared, link: float, scratch: Scratch) -> DataFrame | None:
+    """Pairs ``(a, b)`` of labels with a link between them, whatever cells it lies in; None if none can exist.
+
+    ``named`` has (cluster_vec_id, vec_id, cell, closeness) of every vector of ``vectors``.  Units are ranked from
+    the tightest to the widest; a vector is compared with the units up to its own that it may reach.  Units that only
+    vectors of one label reach are dropped, the rest is broadcast in rounds of about HOSTS vectors.
+    """
+    ring = " + ".join(f"cast(closeness < {c} as int)" for c in RINGS)
+    named = named.selectExpr("vec_id", "cluster_vec_id as label", "cell", "closeness", f"{ring} as ring")
+    large = V.checked(named.groupBy("cell", "ring", "label").count().where(f"count >= {UNIT}").selectExpr("cell", "ring", "label", "1 as large"), scratch, "large")
+    key = ["cell", "ring", "single", "own"]
+    placed = named.join(large, ["cell", "ring", "label"], "left").selectExpr("vec_id", "label", "cell", "closeness", "ring", "coalesce(large, 0) as single", "if(large = 1, label, 0L) as own")
+    units = placed.groupBy(key).agg(F.min("closeness").alias("low"), F.max("closeness").alias("high"), F.count(F.lit(1)).alias("n"))
+    units = V.checked(units.withColumn("unit", F.expr("row_number() over (order by low desc, cell, ring, single, own) - 1")), scratch, "units")
+    points = scratch.write(placed.join(units.select("unit", *key), key).select("vec_id", "label", "unit").join(vectors.select("vec_id", "v"), "vec_id").select("label", "unit", "v"), "points")
+    spark = points.sparkSession
+    table = units.orderBy("unit").toArrow()
+    cell, single, own, low, high, n = (np.asarray(table.column(c).combine_chunks()) for c in ("cell", "single", "own", "low", "high", "n"))
+    low, high = _window(low.astype(np.float64), high.astype(np.float64), link)
+    bounds = spark.sparkContext.broadcast((cell, single, own, low.astype(np.float32), high.astype(np.float32)))
+
+    def visits(x, unit, which):
+        """Which rows may link to a vector of which of the given units, none of them after their own."""
+        cell, _, _, low, high = (c[which] for c in bounds.value)
+        cos = (x @ shared.value.heads.T)[:, cell]
+        return (cos >= low) & (cos <= high) & (unit[:, None] >= which)
+
+    def seen(batches):
+        """The least and the greatest label among the vectors that may link to a unit."""
+        count = len(bounds.value[0])
+        least, most = np.full(count, np.iinfo(np.int64).max), np.full(count, np.iinfo(np.int64).min)
+        for label, unit, x in _sorted_points(batches):
+            which = np.arange(unit[-1] + 1)
+            near = visits(x, unit, which)
+            least[which] = np.minimum(least[which], np.where(near, label[:, None], np.iinfo(np.int64).max).min(0))
+            most[which] = np.maximum(most[which], np.where(near, label[:, None], np.iinfo(np.int64).min).max(0))
+        hit = np.flatnonzero(least <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(least[hit]), pa.array(most[hit])], ["unit", "least", "most"])
+
+    mixed = points.mapInArrow(seen, "unit int, least bigint, most bigint").groupBy("unit").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    open_ = scratch.write(mixed.where("least < most").select("unit"), "open")
+    wanted = np.sort(np.asarray(open_.toArrow().column(0).combine_chunks()))
+    # rounds: ranges of units of together about HOSTS vectors, a larger unit in parts
+    rounds, first, held = [], None, 0
+    for k, u in enumerate(wanted):
+        first, held = u if first is None else first, held + int(n[u])
+        if k + 1 == len(wanted) or held + n[wanted[k + 1]] > HOSTS:
+            parts = -(-held // HOSTS)
+            rounds += [(int(first), int(u), parts, part) for part in range(parts)]
+            first, held = None, 0
+    for turn, (a, b, parts, part) in enumerate(rounds):
+        block = points.where(f"unit between {a} and {b} and pmod(xxhash64(v), {parts}) = {part}").join(F.broadcast(open_), "unit", "left_semi").select("unit", "label", "v").orderBy("unit").toArrow()
+        if not block.num_rows:
+            continue
+        told = spark.sparkContext.broadcast(tuple(np.asarray(block.column(c).combine_chunks()) for c in (0, 1)) + (V.column_bytes(block.column(2).combine_chunks()),))
+        points.where(f"unit >= {a}").mapInArrow(_compare(told, bounds, visits, link), "a bigint, b bigint").distinct().write.parquet(f"{scratch.root}/bridges/{turn}")
+        told.destroy()
+    return spark.read.schema("a bigint, b bigint").parquet(f"{scratch.root}/bridges/*") if rounds else None
+
+
+def _compare(told, bounds, visits, link: float):
+    """The kernel that compares points with the broadcast vectors ``(unit, label, code)``, sorted by unit."""
+
+    def run(batches):
+        unit_of, names, code = told.value
+        y = V.decode(code).astype(np.float32)
+        which, starts = np.unique(unit_of, return_index=True)
+        ends = np.append(starts[1:], len(unit_of))
+        single, own = bounds.value[1][which] == 1, bounds.value[2][which]
+        for label, unit, x in _sorted_points(batches):
+            near = visits(x, unit, which) & ~(single & (own == label[:, None]))
+            share = near.mean(0)
+            full = share > 0.4
+            tasks = [(s, e, np.flatnonzero(near[:, k])) for k, s, e in zip(np.flatnonzero((share > 0) & ~full), starts[(share > 0) & ~full], ends[(share > 0) & ~full], strict=True)]
+            edge = np.flatnonzero(np.diff(np.r_[0, full.astype(np.int8), 0]))
+            tasks += [(starts[s], ends[e - 1], None) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+            a, b = [], []
+            for s, e, rows in tasks:
+                z, mine = (x, label) if rows is None else (x[rows], label[rows])
+                for at in range(s, e, 2048):
+                    to = min(e, at + 2048)
+                    hit = z @ y[at:to].T >= link
+                    if hit.any():
+                        i, j = np.nonzero(hit)
+                        la, lb = mine[i], names[at + j]
+                        differ = la != lb
+                        if differ.any():
+                            pair = np.unique(np.stack([la[differ], lb[differ]], 1), axis=0)
+                            a.append(pair[:, 0])
+                            b.append(pair[:, 1])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def _sorted_points(batches, rows: int = 1024, most: int = 32_768):
+    """``(label, unit, vectors)`` of a partition in pieces of ``rows`` rows, sorted by unit as far as memory is bounded."""
+    held, count = [], 0
+
+    def pieces():
+        label, unit = (np.concatenate([np.asarray(b.column(c)) for b in held]) for c in (0, 1))
+        code = np.concatenate([V.column_bytes(b.column(2)) for b in held]).reshape(len(unit), -1)
+        order = np.argsort(unit, kind="stable")
+        for at in range(0, len(order), rows):
+            take = order[at : at + rows]
+            yield label[take], unit[take], V.decode(code[take]).astype(np.float32)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            count += b.num_rows
+        if count >= most:
+            yield from pieces()
+            held, count = [], 0
+    if held:
+        yield from pieces()
 
 
 def propagate(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,14 +295,18 @@ def cluster(rows: DataFrame, link: float = LINK, least: int = LEAST_SIZE, per_li
     found = memberships(rows, link, scratch, per_list, per_group)
     if found is None:
         return spark.createDataFrame([], "cluster_vec_id bigint, vec_id bigint, size bigint, cell int, closeness float")
-    inner, copies = found
+    inner, copies, vectors, shared = found
     # a vector reported under several roots joins their cells
     member = inner.groupBy("vec_id").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots"), F.max("cell").alias("cell"), F.max("closeness").alias("closeness"))
     member = scratch.write(member, "members")
     links = member.where("size(roots) > 1").selectExpr("low as a", "explode(roots) as b").where("a <> b").distinct()
     # a root or a cluster may own a third of all vectors: its one label or size is broadcast if there are few
     labels = V.checked(propagate(links, scratch).withColumnRenamed("node", "low"), scratch, "labels")
-    named = member.join(labels, "low", "left").selectExpr("coalesce(label, low) as cluster_vec_id", "vec_id", "cell", "closeness")
+    named = scratch.write(member.join(labels, "low", "left").selectExpr("coalesce(label, low) as cluster_vec_id", "vec_id", "cell", "closeness"), "named")
+    joined = bridges(named, vectors, shared, link, scratch)
+    if joined is not None:
+        final = V.checked(propagate(joined, Scratch(spark, "bridges")).withColumnsRenamed({"node": "cluster_vec_id", "label": "final"}), scratch, "final")
+        named = named.join(final, "cluster_vec_id", "left").selectExpr("coalesce(final, cluster_vec_id) as cluster_vec_id", "vec_id", "cell", "closeness")
     # copies take the place of the vector they repeat; many may repeat the same one
     origin = named.withColumnRenamed("vec_id", "first").join(copies.select("first").distinct(), "first", "left_semi")
     alike = copies.join(V.checked(origin, scratch, "origin"), "first").select("cluster_vec_id", "vec_id", "cell", "closeness")

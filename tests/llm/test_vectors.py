@@ -116,6 +116,28 @@ def test_clusters(spark, table):
     assert (report.groupby("cluster_vec_id").size() <= 3).all() and (report.in_cell <= report["size"]).all()
 
 
+def bundles():
+    """A crowded bundle and a smaller one beside it: one cluster, though their vectors may share no cell."""
+    rng = np.random.default_rng(11)
+    c, d = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    d = 0.88 * c + np.sqrt(1 - 0.88**2) * d
+    x = np.concatenate([c + 0.01 * rng.normal(size=(1500, 64)), d + 0.01 * rng.normal(size=(150, 64)), rng.normal(size=(50, 64))])
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("hosts", [100_000, 200])
+def test_links_outside_shared_cells(spark, monkeypatch, hosts):
+    x = bundles()
+    u = unit(x)
+    label = clusters._labels(len(x), *np.nonzero(u @ u.T >= 0.85))
+    size = np.bincount(label)
+    want = sorted((int(label[i]), i) for i in range(len(x)) if size[label[i]] >= 5)
+    assert {c for c, _ in want} == {0} and len(want) == 1650
+    monkeypatch.setattr(clusters, "HOSTS", hosts)
+    found = clusters.cluster(frame(spark, range(len(x)), x), per_list=20, per_group=100)
+    assert sorted(map(tuple, found.select("cluster_vec_id", "vec_id").collect())) == want
+
+
 def test_labels_and_propagation(spark):
     from lattiq.functions.scratch import Scratch
 
