@@ -387,7 +387,7 @@ def add_merge(f):
 def update_replace(f):
     base = f.base
     new = base.withColumn("pid", F.expr("pid - 1")).where("pid % 10 = 0 and pid >= 0").withColumn("gen", F.lit(1))
-    return maintain.replaced(base.where("pid % 10 <> 0"), new).select("cid", "pid", "pos")
+    return maintain.replaced(base, new).select("cid", "pid", "pos")
 
 
 @query(f"with {_ASG} select cid, pid, pos from asg where pid % 7 <> 0")
