@@ -285,16 +285,23 @@ def _schema(id_kind: str) -> str:
     return ", ".join(cols)
 
 
+MOST_WORDS = 100_000
+"""Distinct common words, at most; a longer list is refused."""
+
+
 def _hashes(words: DataFrame) -> tuple[np.ndarray, set[int]]:
     """Hashes of the common words: one fixed list of a few hundred rows."""
-    found = {word_hash(fold(r[0])) for r in words.select("word").where("word is not null").distinct().limit(100_000).collect()}
+    listed = words.select("word").where("word is not null").distinct().limit(MOST_WORDS + 1).collect()
+    if len(listed) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    found = {word_hash(fold(r[0])) for r in listed}
     return np.array(sorted(found), np.uint64), found
 
 
-def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK, table: np.ndarray | None = None) -> DataFrame:
     """One row of partial counts for every chunk of every document; no shuffle for documents of one chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table, _ = _hashes(words)
+    table = _hashes(words)[0] if table is None else table
     parts = docs.selectExpr("doc_id", "coalesce(text, '') as text").selectExpr("doc_id", "text", f"greatest(1, cast(ceil(length(text) / {chunk}) as int)) as chunks").selectExpr(
         "doc_id", "explode(sequence(0, chunks - 1)) as chunk", "chunks", "text"
     ).selectExpr("doc_id", "cast(chunk as bigint) as chunk", "cast(chunks as bigint) as chunks", f"case when chunks = 1 then text else substring(text, chunk * {chunk} + 1, {chunk}) end as text")
@@ -355,8 +362,8 @@ def merged(states: DataFrame, keys: list[str], common: set[int]) -> DataFrame:
 
 def document_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One state per document: single chunks pass through, others are merged by block and then by document."""
-    states = Scratch(docs.sparkSession, "quality").write(chunk_states(docs, words, chunk), "states")
-    _, common = _hashes(words)
+    table, common = _hashes(words)
+    states = Scratch(docs.sparkSession, "quality").write(chunk_states(docs, words, chunk, table), "states")
     tree = merged(merged(states.where("chunks > 1"), ["doc_id", "block"], common), ["doc_id"], common)
     return states.where("chunks = 1").unionByName(tree)
 
