@@ -1,8 +1,8 @@
 """The k most similar vectors for every vector of a collection (problem 4).
 
-Method: balanced posting lists.  Heads are trained on a bounded sample and kept balanced; a vector near a
-boundary is replicated to several lists; the heads are searched by a best-first walk over an in-memory graph of
-heads; and a distance ratio prunes, for each vector, the lists in which it searches.  Every usable vector is
+Method: balanced posting lists.  Heads are trained on two levels and kept balanced, so lists keep their size as the
+collection grows; a vector near a boundary is replicated to several lists; the heads are searched by a best-first
+walk over an in-memory graph of heads; and a distance ratio prunes, for each vector, the lists in which it searches.  Every usable vector is
 indexed and every one is a query.  Lists of one neighbourhood form a group, and a vector travels once to each
 group it touches; inside a list, queries meet postings in dense blocks, and only the best few candidates leave.
 
@@ -26,14 +26,16 @@ from lattiq.llm import vectors as V
 PER_LIST = 450
 """Vectors per list, on average, before replication."""
 PER_GROUP = 8_000
-POSTED, SEARCHED, RATIO, EXTRA = 8, 12, 0.12, 4
+POSTED, SEARCHED, RATIO, EXTRA = 8, 16, 0.15, 4
 STEP = 1_000_000
-_LOW = (1 << 24) - 1
+_BITS = 30
+_LOW = (1 << _BITS) - 1
+"""A code holds a cosine in steps above an index of 30 bits (the rows of one group, which fit one task)."""
 
 
 def _code(score: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Cosines in steps of 1e-6 above the complement of the index; -1 for a vector itself."""
-    return np.where(score < -2, -1, (np.rint((score.astype(np.float64) + 4) * STEP).astype(np.int64) << 24) | (_LOW - index))
+    return np.where(score < -2, -1, (np.rint((score.astype(np.float64) + 4) * STEP).astype(np.int64) << _BITS) | (_LOW - index))
 
 
 def _best(score: np.ndarray, index: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +92,17 @@ def _union(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return -np.sort(-both, axis=1)[:, :k]
 
 
-def search_group(m: V.Members, k: int, home_bit: np.ndarray) -> np.ndarray:
+def search_group(m: V.Members, k: int) -> np.ndarray:
     """Codes of the best k postings for each member over the lists of the group in which it searches.
 
-    Every member searches its home list first, so that in further lists only those rows are ranked that
-    hold something as good as what it has.  ``home_bit`` is -1 for members at home in another group.
+    Every member searches its first list (its home list, if that is in the group) before all others, so that in
+    further lists only those rows are ranked that hold something as good as what it has.
     """
     best = np.full((len(m.ids), k), -1, np.int64)
     for first in (True, False):
         for bit in range(V.GROUP_LISTS):
             p = np.flatnonzero(m.post & (1 << bit))
-            q = np.flatnonzero((m.search & (1 << bit) != 0) & ((home_bit == bit) == first))
+            q = np.flatnonzero((m.search & (1 << bit) != 0) & ((m.home_bit == bit) == first))
             if not len(p) or not len(q):
                 continue
             target = np.ascontiguousarray(m.vecs[p].T)
@@ -114,15 +116,21 @@ def search_group(m: V.Members, k: int, home_bit: np.ndarray) -> np.ndarray:
                 hit = np.flatnonzero(own >= 0)
                 score[hit, own[hit]] = -3
                 last = best[part, k - 1]
-                least = np.where(last >= 0, (last >> 24) / STEP - 4 - 2 / STEP, -2)
+                least = np.where(last >= 0, (last >> _BITS) / STEP - 4 - 2 / STEP, -2)
                 some, code = _best(score, p, k, least)
                 if len(some):
                     best[part[some]] = _union(best[part[some]], code, k)
     return best
 
 
-def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: int = PER_GROUP) -> DataFrame:
-    """``(vec_id, neighbour_id, rank, cosine)`` for every usable vector."""
+def nearest(
+    rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: int = PER_GROUP, posted: int = POSTED, searched: int = SEARCHED, ratio: float = RATIO, extra: int = EXTRA,
+    cell_lists: int | None = None, head_bytes: int | None = None,
+) -> DataFrame:
+    """``(vec_id, neighbour_id, rank, cosine)`` for every usable vector.
+
+    More lists posted to and searched (``posted``, ``searched``, ``ratio``, ``extra``) give more recall for more work.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "neighbours")
     base = scratch.write(V.usable(rows), "base")
@@ -132,17 +140,13 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
         return spark.createDataFrame([], shape)
     surplus, first = V.crowded(base, k + 1, scratch)
     index = V.without(base, surplus)
-    lay = V.layout_of(base, n, per_list, per_group)
-    shared = spark.sparkContext.broadcast(lay)  # at most MAX_LISTS heads
-    laid = V.exchange(index, shared, lay.groups, POSTED, SEARCHED, RATIO, RATIO, EXTRA)
-    buckets = lay.groups
+    lists = V.train(base, n, per_list, per_group, scratch, cell_lists=cell_lists, head_bytes=head_bytes)
+    laid = V.exchange(index, lists, posted, searched, ratio, ratio, extra)
+    buckets = lists.tasks
 
     def local(batches):
-        bits = shared.value.bit
         for m in V.gathered(batches):
-            if len(m.ids) > _LOW:
-                raise ValueError("a group outgrew its index; lower per_group")
-            best = search_group(m, k, np.where(m.home >= 0, bits[np.maximum(m.home, 0)], -1))
+            best = search_group(m, k)
             some = np.flatnonzero(best[:, 0] >= 0)
             best = best[some]
             ids = m.ids[some]
@@ -152,7 +156,7 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
             order = np.argsort(bucket, kind="stable")
             bucket, best, ids = bucket[order], best[order], ids[order]
             other = np.where(best >= 0, m.ids[np.minimum(_LOW - (best & _LOW), len(m.ids) - 1)], -1)
-            cos = np.where(best >= 0, (best >> 24) / STEP - 4, -9).astype(np.float32)
+            cos = np.where(best >= 0, (best >> _BITS) / STEP - 4, -9).astype(np.float32)
             ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
             yield pa.RecordBatch.from_arrays(
                 [
@@ -191,8 +195,7 @@ def nearest(rows: DataFrame, k: int = 5, per_list: int = PER_LIST, per_group: in
     if surplus.isEmpty():
         return found
     # beyond the indexed ids of a direction, a vector's neighbours are the k smallest of them
-    best = V.checked(first.where(f"nth <= {k}").withColumnRenamed("vec_id", "neighbour_id"), scratch, "best")
-    same = surplus.join(best, "key")
+    same = V.attach(surplus, first.where(f"nth <= {k}").withColumnRenamed("vec_id", "neighbour_id"), "key", scratch, "best")
     return found.unionByName(same.selectExpr("vec_id", "neighbour_id", "cast(nth as int) as rank", "cast(1 as float) as cosine"))
 
 

@@ -163,3 +163,49 @@ def test_crowded_cells():
     a, b = np.nonzero(x @ x.T >= 0.85)
     assert (clusters._labels(1000, i, j) == clusters._labels(1000, a, b)).all()
     assert len(i) < 20_000
+
+
+def test_layouts_agree(spark, table):
+    """Heads that are broadcast and heads that travel to their cells give the same lists; many cells keep the recall."""
+    x, df = table
+    u = unit(x)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    got = [neighbours.nearest(df, per_list=40, per_group=300, cell_lists=4, head_bytes=b).toPandas() for b in (None, 0)]
+    pairs = [set(zip(g.vec_id, g.neighbour_id, strict=True)) for g in got]
+    assert np.mean([(int(i) * 3 + 1, int(j) * 3 + 1) in pairs[1] for i in range(len(x)) for j in want[i]]) > 0.9
+    assert pairs[0] == pairs[1]
+
+
+def test_groups_share_partitions(spark, table, monkeypatch):
+    x, df = table
+    whole = sorted(map(tuple, neighbours.nearest(df, per_list=60, per_group=200).select("vec_id", "neighbour_id").collect()))
+    monkeypatch.setattr(V, "TASKS", 2)
+    assert sorted(map(tuple, neighbours.nearest(df, per_list=60, per_group=200).select("vec_id", "neighbour_id").collect())) == whole
+
+
+def test_walk_finds_heads():
+    rng = np.random.default_rng(2)
+    heads = unit(rng.normal(size=(600, 64))).astype(np.float32)
+    heads = heads[np.argsort((heads @ heads[:12].T).argmax(1), kind="stable")]
+    starts = np.linspace(0, 600, 13).astype(int)
+    coarse = np.stack([heads[a:b].mean(0) for a, b in zip(starts, starts[1:], strict=False)])
+    coarse /= np.linalg.norm(coarse, axis=1, keepdims=True)
+    lay = V.Layout(coarse, starts, heads, V.nearest_heads(heads, heads, np.arange(600)), np.zeros(600, int), np.zeros(600, int), np.arange(600))
+    ids, cos = lay.search(heads, 5)
+    assert (ids[:, 0] == np.arange(600)).mean() > 0.99 and (np.diff(cos, axis=1) <= 0).all()
+    assert all(len(set(r)) == 5 for r in ids)
+
+
+def test_hot_keys_are_attached_apart(spark, monkeypatch):
+    from lattiq.functions.scratch import Scratch
+
+    scratch = Scratch(spark, "t")
+    df = scratch.write(spark.range(1000).selectExpr("if(id < 400, 0, id) as k", "id"), "rows")
+    table = spark.range(0, 1000, 2).selectExpr("id as k", "id * 2 as v")
+    want = rows(df.join(table, "k", "left"))
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(V, "HOT_ROWS", 100)
+    got = V.attach(df, table, "k", scratch, "table", "left")
+    assert rows(got) == want and len(want) == 1000
