@@ -67,6 +67,11 @@ def test_split_is_hypergeometric():
     assert (q.sum(1) == 20).all() and (q <= counts).all()
     assert np.abs(q.mean(0) - 20 * counts / 100).max() < 0.15
     assert sampling.split(counts, 500, rng).tolist() == counts.tolist()
+    for good, bad, n in ((6 * 10**8, 6 * 10**8, 10_000), (10**12, 10**11, 500)):  # beyond the generator's range
+        v = np.array([sampling._hypergeometric(rng, good, bad, n) for _ in range(3000)])
+        p = good / (good + bad)
+        var = n * p * (1 - p)
+        assert abs(v.mean() - n * p) < 5 * (var / 3000) ** 0.5 and abs(v.var() / var - 1) < 0.15
     huge = sampling.split(np.array([3_000_000_000, 1_000_000_000]), 1000, rng)
     assert huge.sum() == 1000 and abs(huge[0] - 750) < 80
 
@@ -79,3 +84,18 @@ def test_leaves_share_the_sample(spark):
     finally:
         sampling.LEAF = old
     assert len(set(got)) == 700 and abs(np.mean(got) - 1000) < 80
+
+
+def test_long_pieces_are_linear(spark):
+    """One piece of 200,000 documents: elements travel alone, so the time does not grow with its square."""
+    import time
+
+    df = spark.range(1).selectExpr("id as piece_id", "timestamp'2025-01-01' as arrived_at", "sequence(0L, 199999L) as pids", "sequence(0L, 199999L) as doclens")
+    began = time.time()
+    assert sampling.documents_of(df).where("pid = doclen").count() == 200_000
+    assert time.time() - began < 60
+
+
+def test_unequal_lists(spark):
+    df = pieces(spark, [(0, [1, 2, 3], [5], None), (1, [4], [1, 2, 3], None), (2, [6], None, None)])
+    assert rows(sampling.documents_of(df)) == [(1, 0, 0, 5), (2, 0, 1, 0), (3, 0, 2, 0), (4, 1, 0, 1), (6, 2, 0, 0)]
