@@ -1,6 +1,6 @@
 """Per-document text quality statistics and a verdict on natural prose (problem 9).
 
-Method: huge documents are split into chunks; every chunk yields associative partial counts together with the
+Method: huge documents are split into chunks, which are spread over tasks; every chunk yields associative partial counts together with the
 state at its two edges (the open line and the open word); partials are merged through a tree (blocks of
 chunks, then documents) with the edges corrected, so a document's figures do not depend on where it was cut;
 ratios and the rule outcome are derived last.
@@ -11,7 +11,8 @@ Counting works on the UTF-8 bytes of a whole Arrow batch at once (no per-word Py
 * symbol: a visible ASCII character that is neither letter nor digit;
 * line: text between line feeds (a carriage return alone also ends one); blank lines are not counted;
 * closed line: its last visible character is one of ``. ! ? : ;`` or a closing quote or bracket after one;
-* common word: a word of the given list, case folded;
+* common word: a word of the given list; both are folded, every character to its lower case if that is one character
+  of as many bytes;
 * prose line: no list marker before a short item, few code symbols, and either seven words or more of which
   a fifth are common, or a shorter rest of a sentence that ends in a full stop, question or exclamation mark.
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from lattiq.functions.scratch import Scratch
 
 CHUNK = 32_768
-"""Characters of a chunk."""
+"""Bytes of a chunk, about."""
+SPREAD = 1 << 20
+"""Characters of a text beyond which its chunks are measured by several tasks."""
 BLOCK = 64
 """Chunks merged in one node of the first tree level."""
 _GROUP = 1 << 20
@@ -85,8 +88,39 @@ def word_hash(word: bytes) -> int:
     return h
 
 
+def _lower_table(first: int, end: int) -> np.ndarray:
+    """Lower case by code point, for characters whose lower case is one character of the same UTF-8 length."""
+    table = np.arange(end, dtype=np.int32)
+    for c in range(first, end):
+        low = chr(c).lower()
+        if len(low) == 1 and first <= ord(low) < end:
+            table[c] = ord(low)
+    return table
+
+
+_LOWER2, _LOWER3 = _lower_table(0x80, 0x800), _lower_table(0x800, 0x10000)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with every character folded in place."""
+    low, size = _LOWER[data], len(data)
+    two = np.flatnonzero((data[: size - 1] >= 0xC3) & (data[: size - 1] < 0xE0)) if size > 1 else np.zeros(0, np.int64)
+    if len(two):
+        code = ((data[two].astype(np.int32) & 31) << 6) | (data[two + 1] & 63)
+        to = _LOWER2[code]
+        at, to = two[to != code], to[to != code]
+        low[at], low[at + 1] = 0xC0 | (to >> 6), 0x80 | (to & 63)
+    three = np.flatnonzero((data[: size - 2] & 0xF0) == 0xE0) if size > 2 else np.zeros(0, np.int64)
+    if len(three):
+        code = ((data[three].astype(np.int32) & 15) << 12) | ((data[three + 1].astype(np.int32) & 63) << 6) | (data[three + 2] & 63)
+        to = _LOWER3[code]
+        at, to = three[to != code], to[to != code]
+        low[at], low[at + 1], low[at + 2] = 0xE0 | (to >> 12), 0x80 | ((to >> 6) & 63), 0x80 | (to & 63)
+    return low
+
+
 def fold(word: str) -> bytes:
-    return word.lower().encode()
+    return folded(np.frombuffer(word.encode(), np.uint8)).tobytes()
 
 
 LINE = ("l_chars", "l_seen", "l_letters", "l_words", "l_common", "l_code", "l_mark", "l_last")
@@ -135,11 +169,7 @@ def measure(data: np.ndarray, starts: np.ndarray, common: np.ndarray) -> dict[st
             hit, n = (second == 0xBB) & (third == 0xBF), 3
         for k in range(n):
             data[np.minimum(at[hit] + k, size - 1)] = 32
-    lower = _LOWER[data]
-    c3 = np.flatnonzero(data[:-1] == 0xC3) + 1
-    if len(c3):
-        up = (data[c3] >= 0x80) & (data[c3] <= 0x9E) & (data[c3] != 0x97)
-        lower[c3[up]] += 32
+    lower = folded(data)
     kind = _CLASS[data]
     first = np.zeros(size + 1, bool)
     first[starts[:-1][starts[:-1] < size]] = True  # a text begins here
@@ -298,21 +328,59 @@ def _hashes(words: DataFrame) -> tuple[np.ndarray, set[int]]:
     return np.array(sorted(found), np.uint64), found
 
 
-def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK, table: np.ndarray | None = None) -> DataFrame:
-    """One row of partial counts for every chunk of every document; no shuffle for documents of one chunk."""
+def _cut(raw: np.ndarray, begin: int, end: int, size: int) -> list[int]:
+    """Ends of the chunks of a text: multiples of ``size`` bytes, moved back to the beginning of a character."""
+    cuts = []
+    while end - begin > size:
+        at = begin + size
+        while at > begin + 1 and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        cuts.append(at)
+        begin = at
+    return [*cuts, end]
+
+
+def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK, table: np.ndarray | None = None, spread: int = SPREAD) -> DataFrame:
+    """One row of partial counts for every chunk of every document.
+
+    Chunks are cut inside the kernel, in one pass over a text.  Texts of up to ``spread`` characters are cut and
+    measured where they are read; the chunks of longer ones are spread over tasks before they are measured.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = _hashes(words)[0] if table is None else table
-    parts = docs.selectExpr("doc_id", "coalesce(text, '') as text").selectExpr("doc_id", "text", f"greatest(1, cast(ceil(length(text) / {chunk}) as int)) as chunks").selectExpr(
-        "doc_id", "explode(sequence(0, chunks - 1)) as chunk", "chunks", "text"
-    ).selectExpr("doc_id", "cast(chunk as bigint) as chunk", "cast(chunks as bigint) as chunks", f"case when chunks = 1 then text else substring(text, chunk * {chunk} + 1, {chunk}) end as text")
     names = [c.strip().split()[0] for c in _schema(kind).split(",")]
+    cut_schema = f"doc_id {kind}, chunk bigint, chunks bigint, text string"
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
+            raw, ends = _text(batch.column(1))
+            owner, no, total, edges = [], [], [], [ends[:1]]
+            long = np.flatnonzero(np.diff(ends) > chunk)
+            at = 0
+            for i in [*long.tolist(), batch.num_rows]:  # texts of one chunk go in runs
+                owner.append(np.arange(at, i))
+                no.append(np.zeros(i - at, np.int64))
+                total.append(np.ones(i - at, np.int64))
+                edges.append(ends[at + 1 : i + 1])
+                if i < batch.num_rows:
+                    parts = _cut(raw, int(ends[i]), int(ends[i + 1]), chunk)
+                    owner.append(np.full(len(parts), i))
+                    no.append(np.arange(len(parts)))
+                    total.append(np.full(len(parts), len(parts)))
+                    edges.append(np.array(parts, np.int64))
+                at = i + 1
+            owner, no, total, edges = (np.concatenate(v) for v in (owner, no, total, edges))
+            step = 1 << 10
+            for lo in range(0, len(owner), step):
+                hi = min(lo + step, len(owner))
+                part = edges[lo : hi + 1]
+                text = pa.Array.from_buffers(pa.string(), hi - lo, [None, pa.py_buffer((part - part[0]).astype(np.int32)), pa.py_buffer(raw[part[0] : part[-1]])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[lo:hi])), pa.array(no[lo:hi]), pa.array(total[lo:hi]), text], ["doc_id", "chunk", "chunks", "text"])
+
+    def count(batches):
+        for batch in batches:
+            raw, ends = _text(batch.column(3))
             at = 0
-            text = batch.column(3)
-            ends = np.frombuffer(text.buffers()[1], np.int32, batch.num_rows + text.offset + 1)[text.offset :].astype(np.int64)
-            raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + _GROUP, "right")) - 1)
                 got = measure(raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at], table)
@@ -323,7 +391,17 @@ def chunk_states(docs: DataFrame, words: DataFrame, chunk: int = CHUNK, table: n
                 yield pa.RecordBatch.from_arrays(cols, names)
                 at = to
 
-    return parts.mapInArrow(run, _schema(kind))
+    texts = docs.selectExpr("doc_id", "coalesce(text, '') as text")
+    here = texts.where(f"length(text) <= {spread}").mapInArrow(lambda batches: count(cut(batches)), _schema(kind))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = texts.where(f"length(text) > {spread}").mapInArrow(cut, cut_schema).repartition(parts, "doc_id", "chunk").mapInArrow(count, _schema(kind))
+    return here.unionByName(apart)
+
+
+def _text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls and the ends of its values, the start of the first before them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + column.offset + 1)[column.offset :].astype(np.int64)
+    return (np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)), ends
 
 
 def merged(states: DataFrame, keys: list[str], common: set[int]) -> DataFrame:

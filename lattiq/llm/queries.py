@@ -26,7 +26,7 @@ def p9_stats(spark, d):
 
 
 def p9_counts(spark, d):
-    return p9_stats(spark, d).select("doc_id", "n_chars", "n_words", "mean_word_length", "symbol_share")
+    return p9_stats(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_share", "closed_line_share", "common_word_share")
 
 
 def p9_found(spark, d):
@@ -97,12 +97,19 @@ select cluster_vec_id, vec_id from low where cluster_vec_id in (select cluster_v
     "p1_found": _TOP + "select query_id, passage_id from r where rank <= 10",
     "p1_top": _TOP + "select query_id, passage_id, score, cast(rank as int) as rank from r where rank <= 10",
     "p9_counts": r"""
-with t as (select doc_id, coalesce(text, '') as raw,
+with cw as (select list(distinct lower(word)) as known from common_words where word is not null),
+  t as (select doc_id, coalesce(text, '') as raw,
     regexp_replace(coalesce(text, ''), '[\x{85}\x{a0}\x{2000}-\x{200d}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]', ' ', 'g') as text from documents),
   w as (select doc_id, length(raw) as n_chars, regexp_extract_all(text, '[A-Za-z\x{80}-\x{10ffff}]+') as words,
     length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g')) as n_symbols,
-    length(regexp_replace(text, '[\x{0}-\x{20}]', '', 'g')) as n_visible from t)
-select doc_id, n_chars, len(words) as n_words,
+    length(regexp_replace(text, '[\x{0}-\x{20}]', '', 'g')) as n_visible,
+    list_filter(list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda l: regexp_replace(l, '[\x{0}-\x{20}]', '', 'g')), lambda l: length(l) > 0) as lines from t),
+  e as (select w.*, list_transform(lines, lambda l: case when length(l) > 7 and l[-1] = '>' and l[-4] = '<' then l[-5]
+    when length(l) > 1 and l[-1] in ('"', '''', ')', ']') then l[-2] else l[-1] end) as ends from w)
+select doc_id, n_chars, len(words) as n_words, cast(len(lines) as bigint) as n_lines,
   case when len(words) > 0 then list_sum(list_transform(words, lambda x: length(x))) / len(words) else 0 end as mean_word_length,
-  case when n_visible > 0 then n_symbols / n_visible else 0 end as symbol_share from w""",
+  case when n_visible > 0 then n_symbols / n_visible else 0 end as symbol_share,
+  case when len(lines) > 0 then len(list_filter(ends, lambda c: c in ('.', '!', '?', ':', ';'))) / len(lines) else 0 end as closed_line_share,
+  case when len(words) > 0 then len(list_filter(words, lambda x: list_contains(known, lower(x)))) / len(words) else 0 end as common_word_share
+from e, cw""",
 }

@@ -81,3 +81,41 @@ def test_chunked_documents(spark):
 
 def test_repeated_and_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_folding():
+    for word in ("Straße", "ÉTÉ", "МОСКВА", "ΑΘΗΝΑ", "ŽIŽKA", "ＡＢＣ", "ẼẼ"):
+        assert q.fold(word) == word.lower().encode()
+    assert q.fold("ß") == "ß".encode()
+    r = final(state("ÉTAIT Était dort"))
+    assert r["n_words"] == 3 and r["n_common"] == 2
+
+
+def test_spread_documents(spark):
+    """A text of many chunks is measured by several tasks, with the figures of the text as a whole."""
+    text = (PROSE + CODE + "Ünïcode € sentence of the été. " + "\n") * 400
+    docs = spark.createDataFrame([(1, text), (2, "the"), (3, None), (4, "x" * 5000)], "doc_id bigint, text string")
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    whole = q.chunk_states(docs, words, 1 << 24)
+    cut = q.chunk_states(docs, words, 1000, spread=4000)
+    assert {r.doc_id: r["count"] for r in cut.groupBy("doc_id").count().collect()}[1] > 70
+    table, common = q._hashes(words)
+    got = {r.doc_id: r.asDict() for r in q.merged(q.merged(cut, ["doc_id", "block"], common), ["doc_id"], common).collect()}
+    want = {r.doc_id: r.asDict() for r in whole.collect()}
+    for i in want:
+        a, b = final(got[i]), final(want[i])
+        assert {k: a[k] for k in a if k != "n_prose"} == {k: b[k] for k in b if k != "n_prose"}
+
+
+def test_counts_against_sql(spark):
+    import duckdb
+
+    from lattiq.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "common_words"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    df = queries.p9_counts(spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id").sort_index()
+    want = con.execute(queries.ORACLE["p9_counts"]).df().set_index("doc_id").sort_index()[list(df.columns)]
+    for c in df:
+        assert np.allclose(df[c].astype(float), want[c].astype(float), rtol=0, atol=1e-9), (c, df[c][~np.isclose(df[c].astype(float), want[c].astype(float))].head())
