@@ -3,9 +3,10 @@
 Method: a configuration linear program over the length histogram.  A configuration is a multiset of length
 classes that fits one container.  Multiplicative weights solve the covering program approximately: each
 class carries a weight, a knapsack dynamic program prices the most valuable configuration under the current
-weights, and the classes it covers lose weight.  The averaged solution is rounded down to whole containers;
-what is left over, together with a reserve of the shortest items, goes best-fit into the real gaps and only
-then into further containers.
+weights (among the classes of greatest value for their length), and the classes it covers lose weight.  The most used
+configurations become whole containers, a share of them at a time, and the program is solved again for the demand
+that is left, until that fills a few containers only.  The last items, and a reserve of the shortest ones, go best-fit
+into the real gaps and only then into further containers.
 
 The driver sees the histogram (at most one row per length up to the capacity) and never an item.  The plan is
 a list of runs ``(length, first rank, count, first container)`` whose number depends on the capacity, not on
@@ -30,23 +31,32 @@ from pyspark.sql import functions as F
 from lattiq.functions.scratch import Scratch
 
 CAPACITY = 4096
-CLASSES = 512
+CLASSES = 256
 """Length classes of the linear program."""
-ROUNDS = 600
-"""Rounds of multiplicative weights."""
-CELLS = 4096
+ROUNDS = 40
+"""Rounds of multiplicative weights between two roundings."""
+COLUMNS = 32
+"""Classes that the pricing looks at, those of greatest value for their length."""
+TAKEN = 0.4
+"""Share of the program's containers that one rounding makes real."""
+TAIL = 3
+"""Containers' worth of demand that is left to best fit."""
+CELLS = 1024
 """Cells of the knapsack program: lengths are rounded up to capacity / CELLS (to 1 for small capacities)."""
-RESERVE = 0.02
+RESERVE = 0.01
 """Share of the total length, in the shortest items, kept back to fill gaps."""
 RANK_BUCKET = 200_000
 
 
 @dataclass
 class Plan:
-    """Runs of equal lengths and the number of containers; ``run`` rows are length, rank, count, container."""
+    """Runs of equal lengths and the number of containers; ``run`` rows are length, rank, count, container.
+
+    ``by_program`` containers come from the linear program, the others from best fit."""
 
     run: list[tuple[int, int, int, int]] = field(default_factory=list)
     containers: int = 0
+    by_program: int = 0
 
 
 class _Stock:
@@ -97,15 +107,22 @@ def price(units: np.ndarray, limit: np.ndarray, value: np.ndarray, capacity: int
     return take
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.5) -> dict[tuple[int, ...], float]:
-    """Fractional copies of configurations that cover ``demand``, by multiplicative weights."""
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.5, weight: np.ndarray | None = None) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Fractional copies of configurations that cover ``demand``, by multiplicative weights, and the last weights."""
     unit = max(1, capacity // CELLS)
     units, room = -(-sizes // unit), capacity // unit
     fits = units <= room
-    weight, covered = np.where(fits, 1.0, 0.0), np.zeros(len(sizes))
+    weight = np.where(fits, 1.0 if weight is None else weight, 0.0)
+    covered = np.where(fits, -np.log(np.maximum(weight, 1e-12)) / (8 * rate), 0.0)
+    covered -= covered[fits].min() if fits.any() else 0
+    start = covered.copy()
     count: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        take = price(units, demand, weight * units / np.maximum(demand * units, 1), room)
+        value = weight / np.maximum(demand, 1)
+        dense = value / units
+        if len(sizes) > COLUMNS:  # pricing looks at the best columns only
+            value = np.where(dense >= np.partition(dense, -COLUMNS)[-COLUMNS], value, 0.0)
+        take = price(units, demand, value, room)
         if not take.any():
             break
         # one step covers the tightest class of the configuration by a fixed share
@@ -113,12 +130,12 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = RO
         step = 1 / (share.max() * 8)
         covered += step * share
         weight = np.where(fits, np.exp(-rate * 8 * (covered - covered[fits].min())), 0.0)
-        key = tuple(take)
+        key = tuple(take.tolist())
         count[key] = count.get(key, 0) + step
     if not count:
-        return {}
-    scale = 1 / max(covered[fits].mean(), 1e-9)
-    return {k: v * scale for k, v in count.items()}
+        return {}, weight
+    scale = 1 / max((covered - start)[fits].mean(), 1e-9)
+    return {k: v * scale for k, v in count.items()}, weight
 
 
 def make_plan(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, rounds: int = ROUNDS) -> Plan:
@@ -134,33 +151,34 @@ def make_plan(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
     # classes of about equal mass, each as long as its longest member
     edge = np.searchsorted(np.cumsum(lengths * counts) / (lengths * counts).sum(), np.arange(1, classes + 1) / classes - 1e-12)
     edge = np.unique(np.minimum(edge, len(lengths) - 1))
-    sizes, starts = lengths[edge], np.concatenate([[0], edge[:-1] + 1])
-    demand = np.add.reduceat(counts, starts)
-    queues = [[(int(lengths[i]), int(counts[i])) for i in range(b, a - 1, -1)] for a, b in zip(starts, edge, strict=True)]
+    sizes = lengths[edge]
+    rest = np.add.reduceat(counts, np.concatenate([[0], edge[:-1] + 1]))
+    home = {int(n): int(np.searchsorted(sizes, n)) for n in lengths}
+    members = [[] for _ in sizes]
+    for n in lengths.tolist():
+        members[home[n]].append(n)
     gaps: list[tuple[int, int, int]] = []  # gap, first container, containers
-    rest = demand.copy()
-    for take, x in sorted(solve(sizes, demand, capacity, rounds).items(), key=lambda e: (-e[1], e[0])):
-        need = np.array(take)
-        n = min(int(x), int((rest[need > 0] // need[need > 0]).min()))
-        if n <= 0:
-            continue
-        rest -= need * n
-        segments = [(0, n, capacity)]
-        for c in np.flatnonzero(need):
-            for _ in range(int(need[c])):
-                cuts, todo = [], n
-                while todo:
-                    size, have = queues[c][0]
-                    got = min(have, todo)
-                    stock.place(plan, size, got, plan.containers + n - todo)
-                    cuts.append((n - todo, n - todo + got, size))
-                    todo -= got
-                    queues[c][0] = (size, have - got)
-                    if have == got:
-                        queues[c].pop(0)
-                segments = _subtract(segments, cuts)
-        gaps += [(g, plan.containers + a, b - a) for a, b, g in segments]
-        plan.containers += n
+    weight = np.ones(len(sizes))
+    while (sizes * rest).sum() > TAIL * capacity:
+        live = np.flatnonzero(rest)
+        found, weight[live] = solve(sizes[live], rest[live], capacity, rounds, weight=weight[live])
+        if not found:
+            break
+        goal, made = max(1, int(TAKEN * sum(found.values()))), 0
+        full = {take: int(np.dot(take, sizes[live])) for take in found}
+        for take in sorted(found, key=lambda t: (-int(found[t]), -full[t], t)):
+            need = np.zeros(len(sizes), np.int64)
+            need[live] = take
+            n = min(max(1, int(found[take])), int((rest[need > 0] // need[need > 0]).min()))
+            if n <= 0:
+                continue
+            gaps += _use(plan, stock, members, home, rest, need, n, capacity)
+            made += n
+            if made >= goal:
+                break
+        if not made:
+            break
+    plan.by_program = plan.containers
     _fill(plan, stock, gaps)
     while stock.fitting(capacity):
         # one more configuration, best fit, for as many containers as its items last
@@ -182,6 +200,43 @@ def make_plan(hist: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
     return plan
 
 
+def _use(plan: Plan, stock: _Stock, members: list[list[int]], home: dict[int, int], rest: np.ndarray, need: np.ndarray, n: int, capacity: int) -> list[tuple[int, int, int]]:
+    """Fill ``n`` containers by one configuration, longest members first; the gaps that are left.
+
+    The smallest member comes last, and there the longest item of any class that fits the real gap is taken.
+    """
+    first, segments = plan.containers, [(0, n, capacity)]
+    plan.containers += n
+    slots = [int(c) for c in np.flatnonzero(need)[::-1] for _ in range(int(need[c]))]
+    for c in slots[:-1] or slots:
+        cuts, todo = [], n
+        while todo:
+            size = members[c][-1]
+            if not stock.left[size]:
+                members[c].pop()
+                continue
+            got = min(stock.left[size], todo)
+            stock.place(plan, size, got, first + n - todo)
+            cuts.append((n - todo, n - todo + got, size))
+            todo -= got
+        rest[c] -= n
+        segments = _subtract(segments, cuts)
+    if len(slots) == 1:
+        return [(g, first + a, b - a) for a, b, g in segments]
+    gaps = []
+    for a, b, gap in segments:
+        while a < b:
+            size = stock.fitting(gap)
+            got = min(b - a, stock.left[size]) if size else b - a
+            if size:
+                stock.place(plan, size, got, first + a)
+                if size in home:
+                    rest[home[size]] -= got
+            gaps.append((gap - size, first + a, got))
+            a += got
+    return gaps
+
+
 def _subtract(segments, cuts):
     """Lower the gaps of segments by the sizes of cuts; both cover the same range in order."""
     out, i, j = [], 0, 0
@@ -257,6 +312,18 @@ def pack(sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return rests.unionByName(fulls).unionByName(empty)
 
 
+def check(packed: DataFrame, sized: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers above the capacity, documents, documents cut without need, and ids lost or doubled."""
+    per = packed.groupBy("container_id").agg(F.sum("n_ids").alias("n")).agg(F.sum((F.col("n") > capacity).cast("bigint")).alias("overfull"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_ids").alias("got"), F.count(F.lit(1)).alias("parts"))
+    want = sized.selectExpr("doc_id", "cast(coalesce(n_ids, 0) as bigint) as n_ids")
+    whole = want.join(docs, "doc_id", "full").agg(
+        F.count("parts").alias("documents"), F.sum(F.expr(f"cast(coalesce(parts, 0) <> greatest(1, ceil(n_ids / {capacity})) as bigint)")).alias("cut_wrongly"),
+        F.sum(F.abs(F.coalesce("n_ids", F.lit(0)) - F.coalesce("got", F.lit(0)))).alias("ids_off"),
+    )
+    return per.join(whole)  # one row each
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers used, the least number possible by length alone, and the filled share."""
     per = packed.groupBy("container_id").agg(F.sum("n_ids").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lattiq.functions.scratch import Scratch
 from lattiq.llm import clusters, neighbours, packing, quality, sampling, tokenizer, topn
 
 
@@ -65,11 +66,16 @@ def p8_containers(spark, d):
     return packing.pack(tokenizer.count_corpus(_t(spark, d, "documents")))
 
 
+def p8_checked(spark, d):
+    sized = Scratch(spark, "sizes").write(tokenizer.count_corpus(_t(spark, d, "documents")), "sized")
+    return packing.check(packing.pack(sized), sized)
+
+
 def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_typical": p5_typical, "p6_sample": p6_sample, "p6_vectors": p6_vectors, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
+QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p7_ids": p7_ids, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_typical": p5_typical, "p6_sample": p6_sample, "p6_vectors": p6_vectors, "p8_containers": p8_containers, "p8_checked": p8_checked, "p8_fill": p8_fill, "p9_found": p9_found, "p9_stats": p9_stats, "p9_counts": p9_counts}
 
 _TOP = """with e as (
     select query_id, unnest(list_zip(passage_ids, scores)) as z from search_result where query_id is not null),
@@ -94,6 +100,7 @@ select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from r where
   low as (select a as vec_id, min(b) as cluster_vec_id from reach group by a),
   big as (select cluster_vec_id from low group by cluster_vec_id having count(*) >= 5)
 select cluster_vec_id, vec_id from low where cluster_vec_id in (select cluster_vec_id from big)""",
+    "p8_checked": "select 0::bigint as overfull, count(*) as documents, 0::bigint as cut_wrongly, 0::bigint as ids_off from documents",
     "p1_found": _TOP + "select query_id, passage_id from r where rank <= 10",
     "p1_top": _TOP + "select query_id, passage_id, score, cast(rank as int) as rank from r where rank <= 10",
     "p9_counts": r"""

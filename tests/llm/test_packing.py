@@ -83,3 +83,22 @@ def test_one_common_length(spark):
         packing.RANK_BUCKET = old
     assert out.groupby("container_id").n_ids.sum().max() <= 100
     assert out.groupby("doc_id").n_ids.sum().tolist() == [40] * 900 + list(range(900, 1000))
+
+
+def test_program_places_most_items():
+    """The linear program, not best fit, fills nearly all containers even where every length is rare."""
+    rng = np.random.default_rng(2)
+    for n in (900, 9000):
+        hist = {int(k): int(v) for k, v in Counter(np.clip(rng.lognormal(6.3, 1, n).astype(int), 1, 4096).tolist()).items()}
+        plan = packing.make_plan(hist)
+        check_plan(hist, plan, 4096)
+        inside = sum(c for _, _, c, k in plan.run if k < plan.by_program)
+        assert plan.by_program > 0.9 * plan.containers and inside > 0.7 * n
+        assert plan.containers <= 1.01 * -(-sum(k * v for k, v in hist.items()) // 4096) + 1
+
+
+def test_check_sees_faults(spark):
+    sized = spark.createDataFrame([(1, 60), (2, 50), (3, 250), (4, None)], "doc_id bigint, n_ids bigint")
+    assert rows(packing.check(packing.pack(sized, 100), sized, 100)) == [(0, 4, 0, 0)]
+    bad = spark.createDataFrame([(1, 0, 0, 60), (2, 0, 0, 50), (3, 0, 1, 100), (3, 1, 2, 100)], "doc_id bigint, part bigint, container_id bigint, n_ids bigint")
+    assert rows(packing.check(bad, sized, 100)) == [(1, 3, 2, 50)]
