@@ -21,10 +21,11 @@ from lattiq.functions.scratch import Scratch
 
 BITS = 5
 """A round splits each open interval into about 2**BITS parts, as BITS halvings at once would."""
-HOT_SHARE = 500
-"""Groups with more than a HOT_SHARE-th of all rows are salted in joins; there are fewer than HOT_SHARE."""
 HOT_ROWS = 100_000
-"""Rows under one salt, about."""
+"""Rows under one salt, about: a group with more is salted in joins."""
+MOST_HOT = 100_000
+"""Groups that can be salted, which bounds what is broadcast: beyond HOT_ROWS * MOST_HOT rows, the rows under one salt
+grow to a MOST_HOT-th of all rows, which is no more than an even share of a task at that size."""
 
 
 def entries(results: DataFrame, group: str = "query_id", ids: str = "passage_ids", scores: str = "scores") -> DataFrame:
@@ -64,11 +65,9 @@ def top_n(items: DataFrame, n: int, scratch: Scratch | None = None) -> DataFrame
     rows = scratch.write(coded, "rows")
 
     groups = scratch.write(_bounds(rows, ["g"]), "groups")
-    hot = (
-        groups.crossJoin(F.broadcast(groups.agg(F.sum("n").alias("all"))))  # one row
-        .where(f"n * {HOT_SHARE} > all and n > {max(n, HOT_ROWS)}")
-        .select("g", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts"))
-    )
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    per_salt = max(HOT_ROWS, n, -(-total // MOST_HOT))
+    hot = scratch.write(groups.where(f"n > {per_salt}").select("g", F.ceil(F.col("n") / per_salt).cast("int").alias("salts")), "hot")
 
     def salted(frame: DataFrame) -> DataFrame:
         return frame.join(F.broadcast(hot), "g", "left").withColumn("salt", F.expr("case when salts is null then 0 else cast(pmod(xxhash64(item), salts) as int) end")).drop("salts")

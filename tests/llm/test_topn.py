@@ -60,6 +60,20 @@ def test_hot_groups_are_salted(spark):
     assert rows(topn.top_n(df, 4).selectExpr("item")) == [(13,), (20,), (27,), (6,)]
 
 
+def test_many_hot_groups_are_salted(spark, monkeypatch):
+    """Salting goes by the size of a group, not by its share: here every group is salted."""
+    df = spark.range(40_000).selectExpr("id % 20 as g", "id as item", "cast((id * 7919) % 1000 as float) as score")
+    want = top_of(df, 5)
+    monkeypatch.setattr(topn, "HOT_ROWS", 300)
+    assert top_of(df, 5) == want and len(want) == 100
+    monkeypatch.setattr(topn, "MOST_HOT", 10)
+    assert top_of(df, 5) == want
+
+
+def top_of(df, n):
+    return rows(topn.top_n(df, n).selectExpr("g", "item"))
+
+
 def test_rank(spark):
     df = topn.ranked(topn.top_n(topn.entries(frame(spark, [(1, [3, 2, 1], [1.0, 5.0, 1.0])])), 2))
     assert rows(df.selectExpr("item", "rank")) == [(1, 2), (2, 1)]
