@@ -1,8 +1,10 @@
 """Far too many small files: consolidation planned in SQL.
 
-Cumulative-size grouping: the manifest of usable files is frozen (written once), put into one fixed order,
-sizes are summed along that order, and every file goes to the interval of the target size in which it
-starts.  The rewrite then moves each document once, and ``reconcile`` compares counts before and after.
+Cumulative-size grouping: the documents of usable files are settled and frozen (written once) with the manifest of their
+files, files are put into one fixed order, their sizes are summed along that order, and every file goes to the
+interval of the target size in which it starts.  The size of a file is its share of a piece: of the documents a piece
+should hold or of its bytes, whichever is more.  The rewrite moves each document once, and ``reconcile`` compares the
+documents of the source files with those written.
 
 What counts as usable: the file is named by its source (spellings are resolved from the root of the
 source; case matters) and its payload holds exactly as many rows as its doclens say (null counts 0).
@@ -19,6 +21,10 @@ from lattiq.functions.scratch import Scratch
 FILES_PER_BUCKET = 50_000
 DEFAULT_CHUNK = 25_000
 """Documents per piece where a source has no usable chunk_size."""
+PIECE_BYTES = 256 << 20
+"""Bytes of source files per piece, at most about."""
+_WHOLE = 1_000_000_000
+"""Units of a whole piece in the running sums."""
 
 _RESOLVED = """array_join(aggregate(split({0}, '/'), cast(array() as array<string>), (acc, p) ->
     case when p in ('', '.') then acc
@@ -47,7 +53,7 @@ def payload_rows(column: str = "payload", width: int = 8, item: int = 2) -> str:
 def usable_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     """Files that are named and whole, one row per stored version, copies dropped.
 
-    Columns: source_id, path, version, doclens, passage_ids, payload, written_at, chunk_size.
+    Columns: source_id, path, version, doclens, passage_ids, payload, written_at, n_bytes, chunk_size.
     """
     named = (
         sources.where("source_id is not null")
@@ -61,7 +67,7 @@ def usable_files(sources: DataFrame, files: DataFrame) -> DataFrame:
         files.where("source_id is not null and file_path is not null and size(passage_ids) > 0")
         .selectExpr(
             "source_id", f"{resolved_path('file_path')} as path", "doclens", "passage_ids", "payload", "written_at",
-            "xxhash64(passage_ids, doclens, payload) as version",
+            "xxhash64(passage_ids, doclens, payload) as version", f"{'if(n_bytes > 0, n_bytes, length(payload))' if 'n_bytes' in files.columns else 'length(payload)'} as n_bytes",
             "aggregate(coalesce(doclens, array()), 0L, (s, x) -> s + coalesce(x, 0L)) as n_rows", f"{payload_rows()} as held",
         )
         .where("held = n_rows")
@@ -70,89 +76,84 @@ def usable_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     return whole.join(named, ["source_id", "path"])
 
 
-def manifest(usable: DataFrame) -> DataFrame:
-    """Versions without payload, and for each how many documents it owns after duplicates are settled.
+def settled(usable: DataFrame) -> DataFrame:
+    """Every document of a source once: ``(source_id, passage_id, path, version, n_bytes, doclen, vectors)``.
 
-    Every document of a source belongs to exactly one version: the latest written, then the greatest path.
+    It comes from the latest written version, then the greatest path.  Documents are cut out of the payload as
+    they leave its row, so payloads are read once and never copied to their documents.
     """
-    docs = usable.select(
-        "source_id", "path", "version", "written_at", F.posexplode("passage_ids").alias("pos", "passage_id")
-    ).where("passage_id is not null")
-    return docs.groupBy("source_id", "passage_id").agg(
-        F.max(F.struct("written_at", "path", "version", F.expr("-pos").alias("neg"))).alias("o")
-    ).select("source_id", "passage_id", F.col("o.path").alias("path"), F.col("o.version").alias("version"), (-F.col("o.neg")).alias("pos"))
+    head = "(11 + cast(conv(hex(substring(payload, 9, 1)), 16, 10) as int) + 256 * cast(conv(hex(substring(payload, 10, 1)), 16, 10) as int))"
+    starts = "aggregate(doclens, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) + coalesce(x, 0L))))"
+    one = (
+        "struct(get(passage_ids, i) as passage_id, -i as neg, coalesce(get(doclens, i), 0L) as doclen, "
+        "substring(payload, cast(head + coalesce(get(starts, i), 0L) * 16 as int), cast(coalesce(get(doclens, i), 0L) * 16 as int)) as vectors)"
+    )
+    docs = usable.selectExpr("source_id", "path", "version", "written_at", "n_bytes", "passage_ids", "payload", "coalesce(doclens, array()) as doclens").selectExpr("*", f"{head} as head", f"{starts} as starts")
+    docs = docs.selectExpr("source_id", "path", "version", "written_at", "n_bytes", f"inline(transform(sequence(0, size(passage_ids) - 1), i -> {one}))").where("passage_id is not null")
+    best = docs.groupBy("source_id", "passage_id").agg(F.max(F.struct("written_at", "path", "version", "neg", "n_bytes", "doclen", "vectors")).alias("o"))
+    return best.select("source_id", "passage_id", "o.path", "o.version", "o.n_bytes", "o.doclen", "o.vectors")
 
 
-def plan_pieces(owned: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(source_id, path, version, piece, n_docs)``: cumulative documents cut at multiples of chunk_size.
+def plan_pieces(owned: DataFrame, chunks: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """``(source_id, path, version, piece, n_docs, n_bytes)``: cumulative sizes cut at multiples of a whole piece.
 
     The fixed order is (bucket, path, version) within a source, where the bucket is a hash of the path
     and a source has about one bucket per FILES_PER_BUCKET files.  Running sums are taken over buckets
     first and inside each bucket second, so no task sees more than one bucket of a huge source.
     """
-    per_file = owned.groupBy("source_id", "path", "version").agg(F.count(F.lit(1)).alias("n_docs"))
+    per_file = owned.groupBy("source_id", "path", "version").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_bytes").alias("n_bytes"))
     spread = per_file.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / FILES_PER_BUCKET).alias("buckets"))
+    target = f"(case when chunk_size > 0 then chunk_size else {DEFAULT_CHUNK} end)"
     sized = (
         per_file.join(spread, "source_id")
         .join(chunks, "source_id")
-        .selectExpr("source_id", "path", "version", "n_docs", "chunk_size", "pmod(xxhash64(path), buckets) as bucket")
-    )
+        .selectExpr(
+            "source_id", "path", "version", "n_docs", "n_bytes", "pmod(xxhash64(path), buckets) as bucket",
+            f"cast(greatest(n_docs / {target}, n_bytes / {piece_bytes}) * {_WHOLE} as decimal(38, 0)) as share",
+        )
+    )
     return sized.sparkSession.sql(
         f"""
-        with b as (select source_id, bucket, sum(n_docs) as n from {{m}} group by source_id, bucket),
+        with b as (select source_id, bucket, sum(share) as n from {{m}} group by source_id, bucket),
         before as (select source_id, bucket, sum(n) over (partition by source_id order by bucket) - n as head from b),
-        run as (select m.*, sum(n_docs) over (partition by source_id, bucket order by path, version) - n_docs as at
+        run as (select m.*, sum(share) over (partition by source_id, bucket order by path, version) - share as at
                 from {{m}} m)
-        select r.source_id, r.path, r.version, r.n_docs,
-               cast((h.head + r.at) div (case when r.chunk_size > 0 then r.chunk_size else {DEFAULT_CHUNK} end) as bigint) as piece
+        select r.source_id, r.path, r.version, r.n_docs, r.n_bytes, cast(floor((h.head + r.at) / {_WHOLE}) as bigint) as piece
         from run r join before h on r.source_id = h.source_id and r.bucket = h.bucket""",
         m=sized,
     )
 
 
-def consolidate(sources: DataFrame, files: DataFrame) -> DataFrame:
+def consolidate(sources: DataFrame, files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """The documents of all sources, each once, with the piece it moves to.
 
     Returns (source_id, piece, passage_id, doclen, vectors): ``vectors`` are the bytes of the document's rows
     as stored (two-byte floats).  Extra columns of the inputs are ignored.  Empty inputs give no rows.
     """
-    spark = files.sparkSession
-    scratch = Scratch(spark, "compaction")
+    scratch = Scratch(files.sparkSession, "compaction")
     usable = usable_files(sources.select("source_id", "files", "chunk_size"), files)
-    frozen = scratch.write(manifest(usable), "manifest")
+    frozen = scratch.write(settled(usable), "documents")
     chunks = sources.groupBy("source_id").agg(F.max("chunk_size").alias("chunk_size"))
-    plan = plan_pieces(frozen, chunks)
-    taken = frozen.groupBy("source_id", "path", "version").agg(F.collect_list(F.struct("pos", "passage_id")).alias("docs"))
-    bodies = usable.groupBy("source_id", "path", "version").agg(F.first("doclens").alias("doclens"), F.first("payload").alias("payload"))
-    rows = (
-        plan.join(taken, ["source_id", "path", "version"])
-        .join(bodies, ["source_id", "path", "version"])
-        .selectExpr("source_id", "piece", "payload", "coalesce(doclens, array()) as doclens", "explode(docs) as d")
-        .selectExpr(
-            "source_id", "piece", "d.passage_id as passage_id", "coalesce(get(doclens, d.pos), 0L) as doclen",
-            "aggregate(slice(doclens, 1, d.pos), 0L, (s, x) -> s + coalesce(x, 0L)) as skip", "payload",
-        )
-    )
-    head = "(11 + cast(conv(hex(substring(payload, 9, 1)), 16, 10) as int) + 256 * cast(conv(hex(substring(payload, 10, 1)), 16, 10) as int))"
-    return rows.selectExpr(
-        "source_id", "piece", "passage_id", "doclen",
-        f"substring(payload, cast({head} + skip * 16 as int), cast(doclen * 16 as int)) as vectors",
-    )
+    plan = scratch.write(plan_pieces(frozen.drop("vectors"), chunks, piece_bytes), "plan")
+    return frozen.drop("n_bytes").join(plan, ["source_id", "path", "version"]).select("source_id", "piece", "passage_id", "doclen", "vectors")
 
 
 def write_consolidated(rows: DataFrame, path: str) -> DataFrame:
-    """Write the pieces, one well-sized file per piece and source, and return the reconciliation.
+    """Write the pieces, one file per piece and source, and return the table written.
 
     Rows are clustered by (source_id, piece), so a piece lands in one task; a huge source has many pieces.
     """
-    rows.repartition("source_id", "piece").sortWithinPartitions("source_id", "piece", "passage_id").write.mode("overwrite").parquet(path)
-    return reconcile(rows, rows.sparkSession.read.parquet(path))
+    placed = rows.repartition("source_id", "piece").sortWithinPartitions("source_id", "piece", "passage_id")
+    placed.write.mode("overwrite").partitionBy("source_id", "piece").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per source: documents planned, written, distinct; ``ok`` if nothing was lost or duplicated."""
-    a = before.groupBy("source_id").agg(F.count(F.lit(1)).alias("planned"))
-    b = after.groupBy("source_id").agg(F.count(F.lit(1)).alias("written"), F.countDistinct("passage_id").alias("distinct_docs"))
+def reconcile(sources: DataFrame, files: DataFrame, written: DataFrame) -> DataFrame:
+    """Per source: documents of its usable files, written, distinct; ``ok`` if nothing was lost or doubled."""
+    usable = usable_files(sources.select("source_id", "files", "chunk_size"), files)
+    docs = usable.select("source_id", F.explode("passage_ids").alias("passage_id")).where("passage_id is not null")
+    a = docs.groupBy("source_id").agg(F.countDistinct("passage_id").alias("expected"))
+    b = written.groupBy("source_id").agg(F.count(F.lit(1)).alias("written"), F.countDistinct("passage_id").alias("distinct_docs"))
     return a.join(b, "source_id", "full").withColumn(
-        "ok", F.coalesce((F.col("planned") == F.col("written")) & (F.col("written") == F.col("distinct_docs")), F.lit(False))
+        "ok", F.coalesce((F.col("expected") == F.col("written")) & (F.col("written") == F.col("distinct_docs")), F.lit(False))
     )

@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from lattiq.operators import compaction, salted
@@ -37,10 +38,30 @@ def test_salted_empty(spark):
 def test_heavy_key_is_salted(spark):
     df = spark.range(20_000).selectExpr("0L as partial_id", "cast(if(id % 3 = 0, id % 50 + 1, 0) as int) as cid", "cast(id as int) as seg", "1L as centroid_counts", "array(id) as centroid_pids")
     assert rows(salted.heavy_keys(df.selectExpr("cid", "1 as n"), "cid", "n", 1000)) == [(0, 14)]
+    parts = {r[0]: r[1] for r in rows(salted.salted_counts(df, 1000).groupBy("cid").agg(F.countDistinct("salt")))}
+    assert parts[0] == 14 and parts[1] == 1
     sizes = {r[0]: r[1] for r in rows(salted.centroid_totals(df, 1000))}
     assert sizes[0] == 13333 and sum(sizes.values()) == 20_000
 
 
+def test_passages_over_several_salts(spark):
+    """Copies of a passage that fall under different salts are one passage after the merge."""
+    df = spark.range(4000).selectExpr("id % 4 as partial_id", "1 as cid", "cast(id as int) as seg", "1L as centroid_counts", "array(id % 10, id % 7, null, -1L) as centroid_pids")
+    stage1 = salted.salted_counts(df, 500)
+    assert stage1.where("pid = 3").count() > 10
+    got = rows(salted.merged_postings(df, 500))
+    assert got == rows(salted.merged_postings(df, 10**9)) and sum(r[2] for r in got) == 8000
+    longest = salted.posting_segments(df, 4, 500).selectExpr("max(size(pids)) as n").first().n
+    assert longest <= 10
+    old = salted.BROADCAST_ROWS, salted.HOT_ROWS
+    salted.BROADCAST_ROWS, salted.HOT_ROWS = 0, 5
+    try:
+        apart = rows(salted.posting_segments(df, 4, 500).selectExpr("cid", "inline(arrays_zip(pids, counts))"))
+    finally:
+        salted.BROADCAST_ROWS, salted.HOT_ROWS = old
+    assert sorted(r[1:] for r in apart) == sorted(r[1:3] for r in got)
+
+
 @pytest.mark.parametrize(
     "path,want",
     [("a/b.npy", "a/b.npy"), ("./a//b.npy", "a/b.npy"), ("x/../a/./b.npy", "a/b.npy"), ("../a.npy", "../a.npy"), ("a/../../b", "../b"), ("A/b.npy", "A/b.npy"), ("", "")],
@@ -80,8 +101,13 @@ def test_consolidation(spark, tmp_path):
     assert bytes(got[1, 10].vectors) == np.arange(8).astype(np.float16).tobytes()
     assert bytes(got[1, 12].vectors) == np.arange(8, 16).astype(np.float16).tobytes()
     assert bytes(got[2, 16].vectors) == b""
-    report = compaction.write_consolidated(out, str(tmp_path / "out"))
-    assert rows(report.select("source_id", "planned", "ok")) == [(1, 3, True), (2, 2, True)]
+    written = compaction.write_consolidated(out, str(tmp_path / "out"))
+    report = compaction.reconcile(s, f.drop("chunk_size"), written)
+    assert rows(report.select("source_id", "expected", "ok")) == [(1, 3, True), (2, 2, True)]
+    lost = compaction.reconcile(s, f.drop("chunk_size"), written.where("passage_id <> 11"))
+    assert rows(lost.select("source_id", "expected", "ok")) == [(1, 3, False), (2, 2, True)]
+    small = compaction.consolidate(s, f.drop("chunk_size"), piece_bytes=1)
+    assert rows(small.groupBy("source_id").agg({"piece": "max"})) != rows(out.groupBy("source_id").agg({"piece": "max"}))
 
 
 def test_consolidation_empty(spark):
@@ -90,7 +116,7 @@ def test_consolidation_empty(spark):
     assert rows(compaction.consolidate(s, f)) == []
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p2_totals", "p3_found", "search_topk", "kernel_scores", "filter_lambda"])
+@pytest.mark.parametrize("name", ["p2_found", "p2_salted", "p2_segments", "p2_totals", "p3_found", "p3_reconciled", "search_topk", "kernel_scores", "filter_lambda"])
 def test_against_duckdb(spark, name):
     import duckdb
 
