@@ -17,6 +17,15 @@ from pyspark.sql import types as T
 from lattiq.functions import codec
 
 MAX_CODEBOOK_BYTES = 1 << 30
+BLOCK_BYTES = 64 << 20
+"""Bytes of a block of products (rows by centroids, or rows by query tokens) in a task."""
+
+
+def row_blocks(rows: int, width: int, item: int = 8):
+    """Slices of rows whose products with ``width`` columns take about BLOCK_BYTES."""
+    step = max(1, BLOCK_BYTES // max(1, width * item))
+    return (slice(at, min(rows, at + step)) for at in range(0, rows, step))
+
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -36,12 +45,13 @@ Codebook = tuple[np.ndarray, np.ndarray]
 
 def codebook(centroids: DataFrame | Codebook, dtype=np.float64) -> Codebook:
     """``(cids, matrix)`` in order of cid, collected to the driver after a check of its size."""
-    if isinstance(centroids, tuple):
-        return centroids
-    n = centroids.count()
-    dim = len(centroids.first()["vec"]) if n else 0
+    given = isinstance(centroids, tuple)
+    n = len(centroids[0]) if given else centroids.count()
+    dim = (centroids[1].shape[1] if given else len(centroids.first()["vec"])) if n else 0
     if n * dim * 8 > MAX_CODEBOOK_BYTES:
         raise ValueError(f"a codebook of {n} x {dim} is too large to broadcast")
+    if given:
+        return centroids
     rows = centroids.select("cid", "vec").orderBy("cid").toArrow().combine_chunks()
     return rows.column(0).combine_chunks().to_numpy(), matrix(rows.column(1).combine_chunks(), dtype)
 
@@ -59,9 +69,12 @@ def nearest_centroid(tokens: DataFrame, centroids: DataFrame | Codebook) -> Data
             if not len(v):
                 cid, score, res = np.zeros(0, np.int32), np.zeros(0), np.zeros((0, c.shape[1]))
             else:
-                s = v @ c.T
-                at = s.argmax(1)
-                cid, score, res = cids[at].astype(np.int32), s[np.arange(len(v)), at], v - c[at]
+                at, score = np.empty(len(v), np.int64), np.empty(len(v))
+                for rows in row_blocks(len(v), len(c)):
+                    s = v[rows] @ c.T
+                    at[rows] = s.argmax(1)
+                    score[rows] = s[np.arange(len(s)), at[rows]]
+                cid, res = cids[at].astype(np.int32), v - c[at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(cid), pa.array(score), vectors(res, pa.float64())], [*keep, "cid", "score", "residual"])
 
     schema = tokens.select(*keep).schema.add("cid", T.IntegerType()).add("score", T.DoubleType()).add("residual", T.ArrayType(T.DoubleType()))
@@ -78,20 +91,35 @@ def centroid_scores(queries: DataFrame, centroids: DataFrame | Codebook, keep: i
             v = matrix(b.column(2))
             if not len(v):
                 continue
-            s = v @ c.T
-            k = s.shape[1] if keep is None else min(keep, s.shape[1])
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties: lowest cid
-            top = np.take_along_axis(s, order, 1)
-            n = len(v)
-            rep = lambda col: pa.array(np.repeat(col.to_numpy(zero_copy_only=False), k))
-            yield pa.RecordBatch.from_arrays(
-                [rep(b.column(0)), rep(b.column(1)), pa.array(cids[order].ravel().astype(np.int32)), pa.array(top.ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n))],
-                ["qid", "tok", "cid", "score", "rn"],
-            )
+            k = len(c) if keep is None else min(keep, len(c))
+            qid, tok = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for rows in row_blocks(len(v), len(c)):
+                order, top = best_columns(v[rows] @ c.T, k)
+                n = len(order)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qid[rows], k)), pa.array(np.repeat(tok[rows], k)), pa.array(cids[order].ravel().astype(np.int32)), pa.array(top.ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), n))],
+                    ["qid", "tok", "cid", "score", "rn"],
+                )
 
     return queries.select(F.col("qid").cast("bigint"), F.col("tok").cast("int"), "vec").mapInArrow(run, "qid bigint, tok int, cid int, score double, rn int")
 
 
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row in order, equal ones by the lower column; only a few columns are sorted."""
+    if k < s.shape[1]:
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        # everything above the k-th value, and of the columns equal to it the first ones
+        above = s > least
+        tie = s == least
+        tie &= np.cumsum(tie, axis=1) <= k - above.sum(1, keepdims=True)
+        cols = np.nonzero(above | tie)[1].reshape(len(s), k)
+    else:
+        cols = np.broadcast_to(np.arange(k), s.shape)
+    top = np.take_along_axis(s, cols, 1)
+    order = np.argsort(-top, axis=1, kind="stable")
+    return np.take_along_axis(cols, order, 1), np.take_along_axis(top, order, 1)
+
+
 @dataclass
 class Probes:
     """A query batch: probed cells in order of cid, the token of each, and the token vectors."""

@@ -2,7 +2,7 @@
 
 Long or iterative plans cut their lineage by writing a Parquet table into the folder that all
 executors share.  The cluster names that folder in ``spark.checkpoint.dir``; only where the setting
-is absent (tests, a laptop) a temporary folder is used.
+is absent and Spark runs in one process (tests, a laptop) a temporary folder is used.
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, set to a temporary one only where nothing is set."""
+    """The shared folder of the session; a temporary one only where nothing is set and the master is local."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"{_KEY} must name a folder that all executors of {master} share")
     if not _local:
         made = tempfile.mkdtemp(prefix="lattiq-")
         _local.append(made)
@@ -48,6 +51,11 @@ class Scratch:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+    def clear(self) -> None:
+        """Delete all tables of this job; its result must have been written before."""
+        _delete(self.spark, self.root)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results must have been written before."""
     _delete(spark, _home(spark))

@@ -8,6 +8,7 @@ cell; ties go to the lower pid.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,30 +109,67 @@ def living(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     return rows.join(tombstones, "pid", "left_anti")
 
 
+QUERY_TOKENS = 4_096
+"""Query tokens that one pass of ``max_sim`` broadcasts."""
+HOT_TOKENS = 1_000_000
+"""Tokens of a passage that one task may take; a longer one is salted."""
+
+
 def max_sim(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     """Exact late interaction ``(qid, pid, score)``: best product per query token and passage, summed over tokens.
 
-    Queries are a stated set, broadcast in blocks through an Arrow kernel; every passage token is scored.
+    Queries are a stated set, scored against all passage tokens in passes of about QUERY_TOKENS.  The tokens of a
+    passage are brought together first, so that the kernel reduces them to one row per query and passage, also where
+    a passage runs over several batches.  The parts of a passage of more than HOT_TOKENS tokens leave one row per query
+    token, and their maxima are merged.
     """
     import numpy as np
     import pyarrow as pa
 
-    from lattiq.functions.kernels import matrix
-
-    q = queries.select(F.col("qid").cast("bigint"), F.col("tok").cast("int"), "vec").toArrow().combine_chunks()
-    if not q.num_rows:
-        return queries.sparkSession.createDataFrame([], "qid bigint, pid bigint, score double")
-    shared = queries.sparkSession.sparkContext.broadcast((q.column(0).combine_chunks().to_numpy(), q.column(1).combine_chunks().to_numpy(), matrix(q.column(2).combine_chunks())))
-
-    def run(batches):
-        qid, tok, v = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = matrix(b.column(1)) @ v.T
-            n, k = s.shape
-            pid = np.repeat(b.column(0).to_numpy(zero_copy_only=False), k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(qid, n)), pa.array(np.tile(tok, n)), pa.array(pid), pa.array(s.ravel())], ["qid", "tok", "pid", "score"])
-
-    each = tokens.select("pid", "vec").mapInArrow(run, "qid bigint, tok int, pid bigint, score double")
-    return merge_max(each).groupBy("qid", "pid").agg(F.sum("score").alias("score"))
+    from lattiq.functions.kernels import matrix, row_blocks
+
+    spark = queries.sparkSession
+    q = queries.select(F.col("qid").cast("bigint"), F.col("tok").cast("int"), "vec")
+    per = q.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n")).first()
+    passes = -(-(per.n or 0) // QUERY_TOKENS)
+    t = tokens.select(F.col("pid").cast("bigint").alias("pid"), "vec")
+    hot = F.broadcast(t.groupBy("pid").count().where(f"count > {HOT_TOKENS}").select("pid", F.ceil(F.col("count") / HOT_TOKENS).alias("salts")))  # one for so many tokens
+    whole = t.join(hot, "pid", "left_anti").repartition("pid").sortWithinPartitions("pid")
+    parts = t.join(hot, "pid").withColumn("salt", F.expr("pmod(xxhash64(vec), salts)")).repartition("pid", "salt").sortWithinPartitions("pid", "salt").select("pid", "vec")
+    found, partial = [], []
+    for turn in range(passes):
+        t = q.where(f"pmod(xxhash64(qid), {passes}) = {turn}").orderBy("qid", "tok").toArrow().combine_chunks()  # about QUERY_TOKENS rows
+        if not t.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((t.column(0).combine_chunks().to_numpy(), matrix(t.column(2).combine_chunks())))
+
+        def run(batches, each, shared=shared):
+            qid, v = shared.value
+            names, first = np.unique(qid, return_index=True)
+
+            def emit(pid, best):
+                if each:
+                    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.arange(len(qid), dtype=np.int32)), pa.array(np.full(len(qid), pid)), pa.array(best)], ["qid", "tok", "pid", "score"])
+                return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), pid)), pa.array(np.add.reduceat(best, first))], ["qid", "pid", "score"])
+
+            open_, best = None, None  # a passage may run over several batches
+            for b in batches:
+                pid, x = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
+                edge = np.flatnonzero(np.diff(pid, prepend=pid[:1] - 1))
+                for a, z in zip(edge, np.append(edge[1:], len(pid)), strict=True):
+                    top = np.max([(x[a:z][rows] @ v.T).max(0) for rows in row_blocks(int(z - a), len(v))], axis=0)
+                    if open_ is not None and pid[a] == open_:
+                        best = np.maximum(best, top)
+                        continue
+                    if open_ is not None:
+                        yield emit(open_, best)
+                    open_, best = pid[a], top
+            if open_ is not None:
+                yield emit(open_, best)
+
+        found.append(whole.mapInArrow(lambda b, run=run: run(b, False), "qid bigint, pid bigint, score double"))
+        partial.append(parts.mapInArrow(lambda b, run=run: run(b, True), "qid bigint, tok int, pid bigint, score double"))
+    if not found:
+        return spark.createDataFrame([], "qid bigint, pid bigint, score double")
+    merged = [merge_max(p).groupBy("qid", "pid").agg(F.sum("score").alias("score")) for p in partial]
+    return reduce(DataFrame.unionByName, [*found, *merged])

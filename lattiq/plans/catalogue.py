@@ -114,15 +114,15 @@ cen as (select cid, centroids::double[] as vec from residual_codec),
 q as (select vec_id // 80 as qid, cast((vec_id // 20) % 4 as int) as tok, embedding::double[] as vec, label from embeddings where vec_id % 20 = 0)"""
 _ASG = f"""{_TOK},
 sc as (select t.pid, t.pos, t.vec, c.cid, c.vec as cvec, list_inner_product(t.vec, c.vec) as score from tok t, cen c),
-asg as (select pid, pos, vec, cid, score, list_transform(range(1, 65), lambda i: vec[i] - cvec[i]) as residual
+asg as materialized (select pid, pos, vec, cid, score, list_transform(range(1, 65), lambda i: vec[i] - cvec[i]) as residual
   from (select *, row_number() over (partition by pid, pos order by score desc, cid) as rn from sc) where rn = 1),
 sz as (select c.cid, count(a.pid) as size from cen c left join asg a on a.cid = c.cid group by c.cid)"""
 _CUT = "[" + ", ".join(str(i / 16) for i in range(1, 16)) + "]"
 _MID = "[" + ", ".join(str((i + 0.5) / 16) for i in range(16)) + "]"
 _CODE = f"""{_ASG},
 val as (select unnest(residual) as x from asg),
-qu as (select quantile_cont(x, {_CUT}) as cutoffs, quantile_cont(x, {_MID}) as weights from val),
-code as (select asg.*, weights, list_transform(residual, lambda x: len(list_filter(cutoffs, lambda c: c < x))) as codes from asg, qu)"""
+qu as materialized (select quantile_cont(x, {_CUT}) as cutoffs, quantile_cont(x, {_MID}) as weights from val),
+code as materialized (select asg.*, weights, list_transform(residual, lambda x: len(list_filter(cutoffs, lambda c: c < x))) as codes from asg, qu)"""
 
 
 def _pick(p: Parameters) -> str:

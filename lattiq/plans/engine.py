@@ -1,10 +1,12 @@
 """The retrieval engine: create, load, search, filter, add, update, delete and compact an index.
 
-An index is a folder of immutable tables.  Every mutation writes new tables under the next version and then
-replaces the small file ``_CURRENT``; readers of the old version are not disturbed.  Postings are kept as a list
-of segments, so an addition writes only its own rows; compaction folds them into one.
+An index is a folder of immutable tables.  Every mutation writes new tables under the next version and then makes
+one small commit file; readers of the old version are not disturbed.  Postings, documents and metadata are lists of
+segments, so an addition writes its own rows, and small segments of postings are joined as they pile up; compaction
+folds all into one.
 
-    <index>/_CURRENT            number of the live version
+    <index>/_COMMITS/after=M    number of the version that follows M
+    <index>/_CURRENT            number of the live version, or of an earlier one from which the commits lead on
     <index>/v=N/meta.json       statistics, codec and the paths of the tables below
     .../centroids .../postings (cid, pid, gen, res) .../docs (pid, gen, doclen, deleted) .../metadata
 """
@@ -16,11 +18,12 @@ import numbers
 import time
 import warnings
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.functions import codec, kernels
@@ -34,6 +37,8 @@ HELD_OUT_SHARE, HELD_OUT_MOST = 0.05, 50_000
 PROBE_ROWS = 4_000_000
 """Probed cells (query tokens times nprobe) that one broadcast may hold; larger batches are cut."""
 COALESCE_DOCS = 2_000
+SEGMENTS = 16
+"""Segments of documents or metadata beyond which they are joined."""
 ROWS_PER_FILE = 4_000_000
 
 
@@ -64,16 +69,31 @@ class Engine:
     # storage
 
     def _version(self) -> int:
-        return int(self.files.read("_CURRENT")) if self.files.exists("_CURRENT") else 0
+        """The live version, the last one of the chain of commits; 0 where there is none.
+
+        ``_CURRENT`` is where the chain is entered; if it is missing or behind, the commits lead to the same version.
+        """
+        version = int(self.files.read("_CURRENT")) if self.files.exists("_CURRENT") else 0
+        while self.files.exists(f"_COMMITS/after={version}"):
+            version = int(self.files.read(f"_COMMITS/after={version}"))
+        return version
+
+    def _next(self) -> int:
+        """A version that nobody has begun: abandoned ones are not written over."""
+        return max([0, *(int(n[2:]) for n in self.files.names() if n.startswith("v=") and n[2:].isdigit())]) + 1
 
     def meta(self) -> dict:
         """Statistics of the live version, always read fresh."""
-        if not self.files.exists("_CURRENT"):
+        version = self._version()
+        if not version:
             raise FileNotFoundError(f"no index at {self.index}")
-        return json.loads(self.files.read(f"v={self._version()}/meta.json"))
+        return json.loads(self.files.read(f"v={version}/meta.json"))
 
-    def _commit(self, version: int, meta: dict) -> None:
+    def _commit(self, version: int, meta: dict, before: int) -> None:
+        """Make a version the live one.  The commit that follows a version can be made only once, so of two writers
+        that began from the same version one fails, and nothing is written over."""
         self.files.write(f"v={version}/meta.json", json.dumps(meta))
+        self.files.write(f"_COMMITS/after={before}", str(version), replace=False)
         self.files.write("_CURRENT", str(version))
 
     def _store(self, df: DataFrame, version: int, name: str) -> str:
@@ -87,13 +107,29 @@ class Engine:
     def _store_postings(self, postings: DataFrame, rows: int, version: int) -> str:
         return self._store(build.sorted_postings(postings.select("cid", "pid", "gen", "res"), max(1, -(-rows // ROWS_PER_FILE))), version, "postings")
 
+    def _appended(self, segments: list[str], counts: dict[str, int], new: DataFrame, rows: int, version: int) -> tuple[list[str], dict[str, int]]:
+        """Segments with new rows after them.  A last segment that is not much larger than what is written is joined
+        with it, up to ROWS_PER_FILE rows, so there are few small ones and a row is rewritten a few times at most."""
+        kept = list(segments)
+        while kept and counts.get(kept[-1], ROWS_PER_FILE) <= min(2 * rows, ROWS_PER_FILE - rows):
+            rows += counts[kept[-1]]
+            new = new.select("cid", "pid", "gen", "res").unionByName(self._read(kept.pop()).select("cid", "pid", "gen", "res"))
+        path = self._store_postings(new, rows, version)
+        return [*kept, path], {k: v for k, v in counts.items() if k in kept} | {path: rows}
+
     # creation
 
     def create(
         self, embeddings_source, device: str | None = None, kmeans_niters: int = 4, max_points_per_centroid: int = 256, nbits: int = 4, n_samples_kmeans: int | None = None,
-        seed: int = 42, metadata: Sequence[Mapping] | DataFrame | None = None, num_partitions: int | None = None, **_ignored,
+        seed: int = 42, metadata: Sequence[Mapping] | DataFrame | None = None, num_partitions: int | None = None,
+        centroids: kernels.Codebook | DataFrame | None = None, buckets: tuple[Sequence[float], Sequence[float]] | None = None,
     ) -> Engine:
-        """Build an index from documents; accepts arrays, an NPY folder or a frame (pid, pos, vec) with dense pids."""
+        """Build an index from documents; accepts arrays, an NPY folder or a frame (pid, pos, vec).
+
+        Ids of arrays and folders count from 0; documents without tokens keep theirs.  Ids of a frame are taken as they
+        are, gaps included, and the next addition continues after the greatest.  ``centroids`` and ``buckets``
+        (cutoffs, weights) are trained where they are not given.
+        """
         self.device = device or self.device
         scratch = Scratch(self.spark, "create")
         tokens = scratch.write(src.tokens_of(self.spark, embeddings_source), "tokens")
@@ -103,41 +139,47 @@ class Engine:
         dim = len(first.vec)
         codec.check_layout(dim, nbits)
         docs = build.doc_lengths(tokens)
-        n_docs, n_tokens = docs.agg(F.count(F.lit(1)), F.sum("doclen")).first()
-        if metadata is not None and not isinstance(metadata, DataFrame) and len(metadata) != n_docs:
-            raise ValueError(f"{len(metadata)} metadata rows for {n_docs} documents")
+        n_docs, n_tokens, last = docs.agg(F.count(F.lit(1)), F.sum("doclen"), F.max("pid")).first()
+        given = src.count_of(embeddings_source, last)
+        if metadata is not None and not isinstance(metadata, DataFrame) and len(metadata) != given:
+            raise ValueError(f"{len(metadata)} metadata rows for {given} documents")
 
         sampled = build.sample_documents(tokens, n_samples_kmeans or rules.sample_size(n_docs), seed)
         sample = scratch.write(tokens.join(sampled, "pid", "left_semi"), "sample")
         sample_docs, sample_tokens = sample.agg(F.countDistinct("pid"), F.count(F.lit(1))).first()
         wanted = num_partitions or rules.partitions_for(sample_tokens / sample_docs * n_docs)
-        book = self._train(sample, rules.power_of_two(min(wanted, sample_tokens)), kmeans_niters, max_points_per_centroid, seed)
+        if centroids is None:
+            book = self._train(sample, rules.power_of_two(min(wanted, sample_tokens)), kmeans_niters, max_points_per_centroid, seed)
+        else:
+            book = kernels.codebook(centroids)
 
         held = max(1, round(min(HELD_OUT_SHARE * sample_tokens, HELD_OUT_MOST)))
         tail = sample.orderBy(F.xxhash64("pid", "pos", F.lit(seed + 1))).limit(held)
         residuals = scratch.write(kernels.nearest_centroid(tail, book), "held_out")
-        quant = build.bucket_quantiles(residuals, nbits).first()
+        quant = build.bucket_quantiles(residuals, nbits).first() if buckets is None else Row(cutoffs=list(buckets[0]), weights=list(buckets[1]))
         threshold = build.nearest_rank(build.residual_norms(residuals)).first().threshold
         spread = [r.avg_abs for r in build.mean_abs_residual(residuals).orderBy("dim").collect()]  # dim rows
 
         coded = kernels.encode_tokens(kernels.nearest_centroid(tokens, book), np.array(quant.cutoffs), nbits).withColumn("gen", F.lit(0))
-        version = self._version() + 1
+        before, version = self._version(), self._next()
         paths = {
             "centroids": self._store(self._book_frame(book), version, "centroids"),
             "postings": [self._store_postings(coded, n_tokens, version)],
-            "docs": self._store(docs.selectExpr("pid", "0 as gen", "doclen", "false as deleted"), version, "docs"),
-            "metadata": None,
+            "docs": [self._store(docs.selectExpr("pid", "0 as gen", "doclen", "false as deleted"), version, "docs")],
+            "metadata": [],
         }
         if metadata is not None and (isinstance(metadata, DataFrame) or len(metadata)):
-            paths["metadata"] = self._store(self._metadata_frame(metadata, 0), version, "metadata")
+            paths["metadata"] = [self._store(self._metadata_frame(metadata, 0), version, "metadata")]
         self._commit(
             version,
             {
                 "num_chunks": max(1, -(-n_docs // build.CHUNK_DOCS)), "last_chunk_docs": (n_docs - 1) % build.CHUNK_DOCS + 1, "nbits": nbits,
                 "num_partitions": rules.partitions_for(n_tokens), "num_embeddings": n_tokens, "avg_doclen": n_tokens / n_docs, "num_passages": n_docs,
-                "next_passage_id": n_docs, "num_centroids": len(book[0]), "dim": dim, "created_at": time.time(), "cutoffs": list(quant.cutoffs),
-                "weights": list(quant.weights), "avg_residual": spread, "cluster_threshold": threshold, "paths": paths,
+                "next_passage_id": given, "num_centroids": len(book[0]), "dim": dim, "created_at": time.time(), "cutoffs": list(quant.cutoffs),
+                "weights": list(quant.weights), "avg_residual": spread, "cluster_threshold": threshold, "paths": paths, "streams": {},
+                "rows": {paths["postings"][0]: n_tokens},
             },
+            before,
         )
         return self
 
@@ -146,7 +188,9 @@ class Engine:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        points = sample.orderBy(F.xxhash64("pid", "pos", F.lit(seed))).limit(per_centroid * k).select(array_to_vector("vec").alias("features"))
+        n, most = sample.count(), per_centroid * k
+        points = sample if n <= most else sample.where(F.expr(f"pmod(xxhash64(pid, pos, {int(seed)}), 1000000) < {most / n * 1e6}"))  # about ``most``, no order
+        points = points.select(array_to_vector("vec").alias("features"))
         if k > 1:
             centres = np.array(KMeans(k=k, maxIter=rounds, seed=seed, initMode="random").fit(points).clusterCenters())
         else:  # one centre is the mean, which KMeans declines to compute
@@ -176,14 +220,17 @@ class Engine:
             warnings.warn("the index is already loaded", stacklevel=2)
             self.free()
         meta = self.meta()
-        docs = self._read(meta["paths"]["docs"])
-        postings = maintain.live(self._read(*meta["paths"]["postings"]), docs).persist()
+        docs = self._read(*meta["paths"]["docs"])
+        postings = self._read(*meta["paths"]["postings"])
+        if meta.get("replaced"):  # only a replaced document leaves postings of an older generation
+            postings = maintain.live(postings, docs)
+        postings = postings.persist()
         book = kernels.codebook(self._read(meta["paths"]["centroids"]))
         counts = {r.cid: r.n for r in postings.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per centroid
         sizes = [(int(c), int(counts.get(c, 0))) for c in book[0]]
         self._loaded = {
             "meta": meta, "book": book, "postings": postings, "docs": docs, "sizes": self.spark.createDataFrame(sizes, "cid int, size bigint").coalesce(1),
-            "metadata": self._read(meta["paths"]["metadata"]) if meta["paths"]["metadata"] else None, "args": (device, dtype, mmap),
+            "metadata": self._metadata_table(meta), "args": (device, dtype, mmap),
         }
         return self
 
@@ -214,9 +261,11 @@ class Engine:
         return rules.search_parameters(self._open()["meta"], top_k, src.pad_queries(queries).shape[1])
 
     def search_frame(self, queries: DataFrame, top_k: int, params: search.Parameters, subset: DataFrame | None = None) -> DataFrame:
-        """``(qid, rank, pid, score)`` for query tokens (qid, tok, vec) whose probes fit one broadcast."""
+        """``(qid, rank, pid, score)`` for query tokens (qid, tok, vec) of one batch: at most PROBE_ROWS probed cells."""
         at = self._open()
         p = params.clamped(len(at["book"][0]))
+        if queries.count() * p.nprobe > PROBE_ROWS:
+            raise ValueError(f"more than {PROBE_ROWS} probed cells in one batch of queries; cut it, or use search()")
         scores = kernels.centroid_scores(search.live_tokens(queries), at["book"], p.bound)
         picked = Scratch(self.spark, "search").write(search.selected(scores, at["sizes"], p), "picked")
         batch = probe_batch(search.probes(picked, queries, at["sizes"], p), queries)
@@ -237,7 +286,7 @@ class Engine:
 
     def search(
         self, queries_embeddings, top_k: int, num_threads: int | None = None, bound: int | None = None, t_prime: int | None = None, nprobe: int | None = None,
-        max_candidates: int | None = None, centroid_score_threshold: float | None = None, batch_size: int | None = 8192, subset=None, **_ignored,
+        max_candidates: int | None = None, centroid_score_threshold: float | None = None, batch_size: int | None = 8192, subset=None,
     ) -> list[list[tuple[int, float]]]:
         """Lists of (passage id, score) per query, best first.
 
@@ -298,7 +347,8 @@ class Engine:
         return [r.asDict(True) for r in store.collect()]
 
     def _metadata_table(self, meta: dict) -> DataFrame | None:
-        return self._read(meta["paths"]["metadata"]) if meta["paths"]["metadata"] else None
+        parts = [self._read(p) for p in meta["paths"]["metadata"]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     # mutation
 
@@ -310,31 +360,46 @@ class Engine:
         return scratch.write(kernels.encode_tokens(assigned, np.array(meta["cutoffs"]), meta["nbits"]), "coded"), book
 
     def add(
-        self, embeddings_source, reload: bool = True, min_outliers: int = 50, max_growth_rate: float = 0.1, max_points_per_centroid: int = 256, metadata: Sequence[Mapping] | None = None, **_ignored
-    ) -> list[int]:
+        self, embeddings_source, reload: bool = True, min_outliers: int = 50, max_growth_rate: float = 0.1, max_points_per_centroid: int = 256, metadata: Sequence[Mapping] | None = None,
+        names: DataFrame | None = None, stream: tuple[str, int] | None = None,
+    ) -> range:
         """Append documents; returns their ids, which continue the watermark and are never reused.
 
+        Documents without tokens get an id like all others.  ``names`` (pid from 0, doc_id) is kept as metadata, so
+        that callers find their documents again.  ``stream`` (name, batch number) is stored with the version: a
+        batch that was committed before adds nothing.
+
         Tokens far from every centroid may add (empty) centroids, and the outlier threshold is blended.
         """
         meta = self.meta()
+        if stream is not None and stream[1] <= meta.get("streams", {}).get(stream[0], -1):
+            return range(0)
         if hasattr(embeddings_source, "__len__") and len(embeddings_source) == 0:
-            return []
+            return range(0)
         start = meta["next_passage_id"]
         scratch = Scratch(self.spark, "add")
         coded, book = self._encode(embeddings_source, meta, scratch, lambda t: t.withColumn("pid", F.col("pid") + start))
         docs = scratch.write(build.doc_lengths(coded), "docs")
-        n_docs, n_tokens = docs.agg(F.count(F.lit(1)), F.sum("doclen")).first()
-        if not n_docs:
-            return []
-        if metadata is not None and len(metadata) != n_docs:
-            raise ValueError(f"{len(metadata)} metadata rows for {n_docs} documents")
-        version = self._version() + 1
+        n_docs, n_tokens, last = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("doclen"), F.lit(0)), F.max("pid")).first()
+        given = src.count_of(embeddings_source, None if last is None else last - start)
+        if not given:
+            return range(start, start)
+        if metadata is not None and len(metadata) != given:
+            raise ValueError(f"{len(metadata)} metadata rows for {given} documents")
+        before, version = self._version(), self._next()
         paths = dict(meta["paths"])
-        paths["postings"] = [*paths["postings"], self._store_postings(coded.withColumn("gen", F.lit(0)), n_tokens, version)]
-        paths["docs"] = self._store(self._read(paths["docs"]).unionByName(docs.selectExpr("pid", "0 as gen", "doclen", "false as deleted")), version, "docs")
-        if metadata:
-            rows, old = self._metadata_frame(metadata, start), self._metadata_table(meta)
-            paths["metadata"] = self._store(rows if old is None else old.unionByName(rows, allowMissingColumns=True), version, "metadata")
+        paths["postings"], counts = self._appended(paths["postings"], meta.get("rows", {}), coded.withColumn("gen", F.lit(0)), n_tokens, version)
+        paths["docs"] = [*paths["docs"], self._store(docs.selectExpr("pid", "0 as gen", "doclen", "false as deleted"), version, "docs")]
+        if len(paths["docs"]) > SEGMENTS:
+            paths["docs"] = [self._store(self._read(*paths["docs"]), version, "all_docs")]
+        if metadata or names is not None:
+            rows = self._metadata_frame(metadata, start) if metadata else None
+            if names is not None:
+                named = names.select((F.col("pid") + start).alias("_passage_id"), "doc_id")
+                rows = named if rows is None else rows.join(named, "_passage_id", "left")
+            paths["metadata"] = [*paths["metadata"], self._store(rows, version, "metadata")]
+            if len(paths["metadata"]) > SEGMENTS:
+                paths["metadata"] = [self._store(self._metadata_table({"paths": paths}), version, "all_metadata")]
 
         far = maintain.outliers(coded, meta["cluster_threshold"])
         grow = 0 if isinstance(embeddings_source, (str, Path)) else maintain.growth(far.count(), meta["num_centroids"], min_outliers, max_growth_rate, max_points_per_centroid)
@@ -343,22 +408,25 @@ class Engine:
             more = self._train(points, grow, 4, max_points_per_centroid, 42)
             book = (np.arange(len(book[0]) + grow, dtype=np.int32), np.concatenate([book[1], more[1]]))
             paths["centroids"] = self._store(self._book_frame(book), version, "centroids")
-        linear = build.linear_rank(coded).first().threshold
+        tail = coded if n_tokens <= HELD_OUT_MOST else coded.where(F.expr(f"pmod(xxhash64(pid, pos, 42), 1000000) < {HELD_OUT_MOST / n_tokens * 1e6}"))
+        linear = build.linear_rank(tail).first().threshold or 0.0  # no token, no weight
         total = meta["num_embeddings"] + n_tokens
         passages = meta["num_passages"] + n_docs
         # a small last chunk is filled up before new ones are begun
         joined = n_docs + (meta["last_chunk_docs"] if meta["last_chunk_docs"] < COALESCE_DOCS else 0)
         kept = meta["num_chunks"] - (meta["last_chunk_docs"] < COALESCE_DOCS)
         meta |= {
-            "num_embeddings": total, "num_passages": passages, "avg_doclen": total / passages, "next_passage_id": start + n_docs, "num_centroids": len(book[0]),
+            "num_embeddings": total, "num_passages": passages, "avg_doclen": total / passages, "next_passage_id": start + given, "num_centroids": len(book[0]),
             "num_chunks": kept + max(1, -(-joined // build.CHUNK_DOCS)), "last_chunk_docs": (joined - 1) % build.CHUNK_DOCS + 1,
-            "cluster_threshold": maintain.blended(meta["cluster_threshold"], total - n_tokens, linear, n_tokens), "paths": paths,
+            "cluster_threshold": maintain.blended(meta["cluster_threshold"], total - n_tokens, linear, n_tokens), "paths": paths, "rows": counts,
         }
-        self._commit(version, meta)
+        if stream is not None:
+            meta["streams"] = {**meta.get("streams", {}), stream[0]: stream[1]}
+        self._commit(version, meta, before)
         self._reload(reload)
-        return list(range(start, start + n_docs))
+        return range(start, start + given)
 
-    def update(self, passage_ids: Sequence[int], embeddings_source, reload: bool = True, **_ignored) -> Engine:
+    def update(self, passage_ids: Sequence[int], embeddings_source, reload: bool = True) -> Engine:
         """New vectors under the same ids; a tombstone on them is lifted, metadata stays."""
         ids = [int(p) for p in passage_ids]
         meta = self.meta()
@@ -370,7 +438,7 @@ class Engine:
             return self
         scratch = Scratch(self.spark, "update")
         names = self.spark.createDataFrame(list(enumerate(ids)), "pid bigint, target bigint")
-        old = self._read(meta["paths"]["docs"])
+        old = self._read(*meta["paths"]["docs"])
         known = old.join(names.selectExpr("target as pid"), "pid", "left_semi").count()
         if known != len(ids):
             raise ValueError(f"{len(ids) - known} of the ids are unknown")
@@ -378,14 +446,14 @@ class Engine:
         fresh = scratch.write(
             build.doc_lengths(coded).join(old.select("pid", "gen"), "pid").selectExpr("pid", "gen + 1 as gen", "doclen", "false as deleted"), "docs"
         )
-        version = self._version() + 1
+        before, version = self._version(), self._next()
         paths = dict(meta["paths"])
         rows = coded.join(fresh.select("pid", "gen"), "pid")
-        paths["postings"] = [*paths["postings"], self._store_postings(rows, coded.count(), version)]
-        paths["docs"] = self._store(maintain.replaced(old, fresh), version, "docs")
-        total = self._read(paths["docs"]).agg(F.sum("doclen")).first()[0]
-        meta |= {"num_embeddings": total, "avg_doclen": total / meta["num_passages"], "paths": paths}
-        self._commit(version, meta)
+        paths["postings"], counts = self._appended(paths["postings"], meta.get("rows", {}), rows, coded.count(), version)
+        paths["docs"] = [self._store(maintain.replaced(old, fresh), version, "docs")]
+        total = self._read(*paths["docs"]).agg(F.sum("doclen")).first()[0]
+        meta |= {"num_embeddings": total, "avg_doclen": total / meta["num_passages"], "paths": paths, "rows": counts, "replaced": True}
+        self._commit(version, meta, before)
         self._reload(reload)
         return self
 
@@ -393,47 +461,47 @@ class Engine:
         """Tombstone documents; compacts by itself once their share reaches the threshold."""
         meta = self.meta()
         ids = self.spark.createDataFrame([(int(p),) for p in passage_ids], "pid bigint")
-        version = self._version() + 1
+        before, version = self._version(), self._next()
         paths = dict(meta["paths"])
-        paths["docs"] = self._store(maintain.delete(self._read(paths["docs"]), ids), version, "docs")
+        paths["docs"] = [self._store(maintain.delete(self._read(*paths["docs"]), ids), version, "docs")]
         store = self._metadata_table(meta)
         if store is not None:
-            paths["metadata"] = self._store(store.join(ids.withColumnRenamed("pid", "_passage_id"), "_passage_id", "left_anti"), version, "metadata")
-        self._commit(version, meta | {"paths": paths})
-        gone = self._read(paths["docs"]).where("deleted").count()
+            paths["metadata"] = [self._store(store.join(ids.withColumnRenamed("pid", "_passage_id"), "_passage_id", "left_anti"), version, "metadata")]
+        self._commit(version, meta | {"paths": paths}, before)
+        gone = self._read(*paths["docs"]).where("deleted").count()
         if compact_threshold is not None and meta["num_passages"] > 0 and gone / (meta["num_passages"] + gone) >= compact_threshold:
             self.compact()
         else:
             self._reload(True)
         return self
 
-    def compact(self, reload: bool = True, **_ignored) -> Engine:
+    def compact(self, reload: bool = True) -> Engine:
         """Rewrite without deleted and superseded rows, drop unused centroids and recalibrate."""
         meta = self.meta()
         scratch = Scratch(self.spark, "compact")
-        docs = self._read(meta["paths"]["docs"])
+        docs = self._read(*meta["paths"]["docs"])
         kept = docs.where("not deleted")
         postings = maintain.compacted(self._read(*meta["paths"]["postings"]), docs)
         centroids = self._read(meta["paths"]["centroids"])
         mapping = scratch.write(build.prune_empty(centroids, postings), "mapping")
-        version = self._version() + 1
+        before, version = self._version(), self._next()
         n_tokens, n_docs = kept.agg(F.coalesce(F.sum("doclen"), F.lit(0)), F.count(F.lit(1))).first()
         paths = dict(meta["paths"])
         paths["postings"] = [self._store_postings(maintain.renumbered(postings, mapping), n_tokens, version)]
-        paths["docs"] = self._store(kept, version, "docs")
+        paths["docs"] = [self._store(kept, version, "docs")]
         if n_tokens:
             paths["centroids"] = self._store(maintain.renumbered(centroids, mapping).select("cid", "vec").coalesce(1), version, "centroids")
         store = self._metadata_table(meta)
         if store is not None:
-            paths["metadata"] = self._store(store.join(docs.where("deleted").selectExpr("pid as _passage_id"), "_passage_id", "left_anti"), version, "metadata")
+            paths["metadata"] = [self._store(store.join(docs.where("deleted").selectExpr("pid as _passage_id"), "_passage_id", "left_anti"), version, "metadata")]
         meta |= {
             "num_embeddings": n_tokens, "num_passages": n_docs, "avg_doclen": n_tokens / n_docs if n_docs else 0.0, "paths": paths,
             "num_centroids": mapping.count() if n_tokens else meta["num_centroids"], "num_chunks": max(1, -(-n_docs // build.CHUNK_DOCS)),
-            "last_chunk_docs": (n_docs - 1) % build.CHUNK_DOCS + 1 if n_docs else 0,
+            "last_chunk_docs": (n_docs - 1) % build.CHUNK_DOCS + 1 if n_docs else 0, "replaced": False, "rows": {paths["postings"][0]: n_tokens},
         }
         if n_tokens:
             meta |= self._recalibrate(paths["postings"][0], meta)
-        self._commit(version, meta)
+        self._commit(version, meta, before)
         self._reload(reload)
         return self
 

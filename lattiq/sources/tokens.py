@@ -106,6 +106,15 @@ def tokens_of(spark: SparkSession, source) -> DataFrame:
     return from_arrays(spark, source)
 
 
+def count_of(source, last: int | None) -> int:
+    """Ids that a source takes up: documents without tokens count, and so do gaps in a frame."""
+    if isinstance(source, (str, Path)):
+        return sum(len(_doclens(f)) for f in npy_files(source))
+    if isinstance(source, DataFrame):
+        return 0 if last is None else int(last) + 1
+    return len(source)
+
+
 def pad_queries(queries) -> np.ndarray:
     """``[queries, tokens, dim]``: shorter queries are padded with zero tokens, which count as tokens."""
     if isinstance(queries, (list, tuple)):
