@@ -26,7 +26,7 @@ from lattiq.llm import vectors as V
 PER_LIST = 450
 """Vectors per list, on average, before replication."""
 PER_GROUP = 8_000
-POSTED, SEARCHED, RATIO, EXTRA = 8, 16, 0.15, 4
+POSTED, SEARCHED, RATIO, EXTRA = 8, 12, 0.15, 4
 STEP = 1_000_000
 _BITS = 30
 _LOW = (1 << _BITS) - 1
