@@ -444,6 +444,58 @@ def device_map(f):
     return f.spark.createDataFrame(list(device_ratios(["cuda:0", "cpu"], 1).items()), "device string, ratio double")
 
 
+# the engine itself: an index on disk with the given codebook and buckets, built, opened, searched and changed
+
+
+def _engine(f):
+    """The whole test index, built by ``Engine.create`` in the shared folder."""
+    from lattiq.functions.scratch import Scratch
+    from lattiq.plans.engine import Engine
+
+    one = f.quantiles.first()  # one row
+    return Engine(f"{Scratch(f.spark, 'index').root}/index", f.spark).create(f.tokens, centroids=f.centroids, buckets=(one.cutoffs, one.weights), nbits=NBITS)
+
+
+def _found(f, engine):
+    return engine.load().search_frame(f.queries.select("qid", "tok", "vec"), K, MAIN).select("qid", "rank", "pid", *r6("score"))
+
+
+@query(f"with {_search(MAIN)} select qid, rank, pid, round(score, 6) as score from res")
+def engine_search(f):
+    return _found(f, _engine(f))
+
+
+@query(ORACLE["search_tombstones"])
+def engine_tombstones(f):
+    engine = _engine(f)
+    gone = f.tokens.select("pid").distinct().where("pid % 7 = 0")
+    return _found(f, engine.delete([r.pid for r in gone.collect()], compact_threshold=None))
+
+
+@query(f"with {_ASG} select cid, pid, count(*) as n from asg where pid % 7 <> 0 group by cid, pid")
+def engine_compacted(f):
+    """Postings after a deletion and compaction, under the numbers of the codebook before it."""
+    engine = _engine(f)
+    used = build.prune_empty(f.centroids, f.assigned.where("pid % 7 <> 0"))
+    engine.delete([r.pid for r in f.tokens.select("pid").distinct().where("pid % 7 = 0").collect()], compact_threshold=None).compact()
+    kept = engine.load()._open()["postings"]
+    return kept.withColumnRenamed("cid", "new_cid").join(F.broadcast(used), "new_cid").groupBy("cid", "pid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"with {_ASG}, n as (select max(pid) + 1 as w from asg) select cid, pid, count(*) as n from asg where pid not in (4, 9) group by cid, pid "
+    "union all select t.cid, s.pid, count(*) from (values (4), (9)) s(pid) join asg t on t.pid = s.pid + 1 group by t.cid, s.pid "
+    "union all select cid, pid + w, count(*) from asg, n group by cid, pid + w"
+)
+def engine_changed(f):
+    """Postings after all documents were added once more under new ids and two were replaced by their successors."""
+    engine = _engine(f)
+    engine.add(f.tokens.select("pid", "pos", "vec"), min_outliers=1 << 60)
+    after = f.tokens.where("pid in (5, 10)").selectExpr("if(pid = 5, 0L, 1L) as pid", "pos", "vec")
+    engine.update([4, 9], after)
+    return engine.load()._open()["postings"].groupBy("cid", "pid").agg(F.count(F.lit(1)).alias("n"))
+
+
 # evaluation
 
 _QREL = "qrel as (select q.qid, t.pid, 1 as rel from q join tok t on t.label = q.label where q.tok = 0 and t.pos = 0)"
